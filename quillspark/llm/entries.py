@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, simhash
+from . import decontaminate, langid, mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op3_sharding": sharding.op3_sharding,
         "op6_mixing": mixing.op6_mixing,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_language_id": langid.op10_language_id,
     }
 
