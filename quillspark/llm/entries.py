@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, sharding, simhash
+from . import decontaminate, langid, mixing, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op3_sharding": sharding.op3_sharding,
+        "op5_token_wavelet": tokens.op5_token_wavelet,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_token_counts": tokens.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
     }
 

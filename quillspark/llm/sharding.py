@@ -24,7 +24,7 @@ from .common import Scratch, text_key
 
 SHARDS, ROUNDS = 40, 10
 #: Hash buckets for admission; rows in a bucket that are ranked together.
-ADMIT, RANKED = 1024, 20_000
+ADMIT, RANKED = 1024, 500
 
 
 def _spread(*cols: Column | str) -> Column:
