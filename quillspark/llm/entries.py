@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, sharding, simhash, tokens
+from . import decontaminate, langid, mixing, pii, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_pii": pii.op2_pii,
         "op3_sharding": sharding.op3_sharding,
         "op5_token_wavelet": tokens.op5_token_wavelet,
         "op6_mixing": mixing.op6_mixing,
