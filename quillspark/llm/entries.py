@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, sharding, simhash, tokens
+from . import decontaminate, langid, mixing, pii, sharding, simhash, suffix_dedup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_pii": pii.op2_pii,
         "op3_sharding": sharding.op3_sharding,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_token_wavelet": tokens.op5_token_wavelet,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
