@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, sharding, simhash, suffix_dedup, tokens
+from . import decontaminate, langid, media, mixing, pii, sharding, simhash, suffix_dedup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_wavelet": tokens.op5_token_wavelet,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_media_copies": media.op8_media_copies,
         "op9_token_counts": tokens.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
     }
