@@ -1 +1,290 @@
-"""."""
+"""Registered queries: lexical, dense, fused and gated retrieval of benchmark passages from documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import dense as D
+from ..operators import fusion as U
+from ..operators import gates as G
+from ..operators import lexical as L
+from ..registry import query, table
+from .corpus import A, Q, TOKENS
+
+
+def _tok(field: str, src: str = "documents", ident: str = "doc_id", name: str = "tok") -> str:
+    return f"{name} AS (SELECT {ident}, unnest({TOKENS.replace('text', field) if field != 'text' else TOKENS}) AS term FROM {src})"
+
+
+def _bm25(text_sql: str, p: str = "") -> str:
+    """CTEs that end in {p}sc(query_id, doc_id, score)."""
+    return rf"""{p}tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower({text_sql}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2)) AS term FROM documents),
+{p}dl AS (SELECT doc_id, count(*) AS dl FROM {p}tok GROUP BY 1), {p}st AS (SELECT count(*) AS n, avg(dl) AS adl FROM {p}dl),
+{p}tf AS (SELECT term, doc_id, count(*) AS tf FROM {p}tok GROUP BY 1, 2), {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY 1),
+{p}qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+{p}sc AS (SELECT query_id, doc_id, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / adl))), 6) AS score
+ FROM {p}tf JOIN {p}qt USING (term) JOIN {p}df USING (term) JOIN {p}dl USING (doc_id), {p}st GROUP BY 1, 2)"""
+
+
+def _top(src: str, k: int, name: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {src}) WHERE rank <= {k})"
+
+
+FULL = _bm25("text")
+QUEST = _bm25(Q, "q")
+
+
+def full_scores(spark, d):
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return L.scores(L.build(docs, "doc_id", F.col("text")), bench, "item_id", F.col("text"))
+
+
+def question_scores(spark, d):
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return L.scores(L.build(docs, "doc_id", T.question_of(F.col("text"))), bench, "item_id", F.col("text"))
+
+
+@query(f"WITH {FULL} SELECT n AS n_docs, round(adl, 6) AS avg_dl, (SELECT count(*) FROM df) AS vocabulary, (SELECT sum(tf)::BIGINT FROM tf) AS terms FROM st")
+def bm25_stats(spark, d):
+    i = L.build(table(spark, d, "documents"), "doc_id", F.col("text"))
+    t = i.postings.groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count("*").alias("vocabulary"), F.sum("tf").alias("terms"))
+    return i.stats.crossJoin(t).select("n_docs", F.round("avg_dl", 6).alias("avg_dl"), "vocabulary", "terms")
+
+
+@query(f"WITH {FULL}, {_top('sc', 5, 't')} SELECT query_id, doc_id, score, rank FROM t")
+def bm25_topk(spark, d):
+    return L.top(full_scores(spark, d), 5)
+
+
+@query(f"WITH {QUEST}, {_top('(SELECT * FROM qsc WHERE score > 0)', 5, 't')} SELECT query_id, doc_id, score, rank FROM t")
+def bm25_question_topk(spark, d):
+    return L.top(question_scores(spark, d), 5)
+
+
+@query(rf"""WITH tok AS (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM tok WHERE NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1, 2),
+v AS (SELECT item_id, count(*) AS v FROM tf GROUP BY 1), h AS (SELECT item_id, tf, v, list_reduce([2166136261::BIGINT] || list_transform(range(1, octet_length(encode(term)) + 1), lambda i: ('0x' || hex(encode(term))[2*i-1:2*i])::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295) & 2147483647 AS idx FROM tf JOIN v USING (item_id))
+SELECT item_id, idx, round(sum(ln(1.0 + tf) / (1 + ln(1.0 + v))), 6) AS weight FROM h GROUP BY 1, 2""")
+def sparse_vectors(spark, d):
+    return L.sparse_vectors(table(spark, d, "benchmark"), "item_id", F.col("text"))
+
+
+STOPPED = rf"list_filter(regexp_extract_all(lower(%s), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2 AND t NOT IN {T.STOP_WORDS!r})"
+FIELDS = f"""fp AS (SELECT DISTINCT doc_id, field, term FROM (
+ SELECT doc_id, 'title' AS field, unnest({STOPPED % "lang || ' ' || source"}) AS term FROM documents UNION ALL
+ SELECT doc_id, 'question', unnest({STOPPED % Q}) FROM documents UNION ALL SELECT doc_id, 'answer', unnest({STOPPED % f"substr({A}, 1, 500)"}) FROM documents))"""
+WQ = f"""wt AS (SELECT query_id, n_terms, unnest(t) AS term FROM (SELECT query_id, t, len(t) AS n_terms FROM (SELECT item_id AS query_id, list_distinct({STOPPED % 'text'}) AS t FROM benchmark))),
+ws AS (SELECT query_id, doc_id, n_terms, sum(CASE field WHEN 'title' THEN 3 WHEN 'question' THEN 2 ELSE 1 END)::BIGINT AS raw FROM fp JOIN wt USING (term) GROUP BY 1, 2, 3),
+wp AS (SELECT query_id, doc_id, raw, least(100, round_even(100.0 * raw / (6 * n_terms), 0)::INT) AS percent FROM ws)"""
+
+
+def fields(spark, d):
+    t = F.col("text")
+    return L.field_postings(table(spark, d, "documents"), "doc_id", {"title": F.concat_ws(" ", "lang", "source"), "question": T.question_of(t), "answer": F.substring(T.answer_of(t), 1, 500)})
+
+
+@query(f"WITH {FIELDS} SELECT field, count(*) AS postings, count(DISTINCT term) AS terms FROM fp GROUP BY 1")
+def inverted_index(spark, d):
+    return fields(spark, d).groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
+
+
+def weighted(spark, d, allowed=None):
+    return L.weighted_search(fields(spark, d), table(spark, d, "benchmark"), "item_id", F.col("text"), allowed)
+
+
+@query(f"WITH {FIELDS}, {WQ}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM wp) SELECT query_id, doc_id, raw, percent, rank FROM t WHERE rank <= 10")
+def weighted_field_search(spark, d):
+    return L.top(weighted(spark, d), 10, score="raw")
+
+
+@query(f"WITH {FIELDS}, {WQ}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM wp WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT query_id, doc_id, percent, greatest(30, 95 - 15 * (rank - 1))::INT AS relevance FROM t WHERE rank <= 10")
+def search_within_allowed(spark, d):
+    allowed = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    t = L.top(weighted(spark, d, allowed), 10, score="raw")
+    return t.select("query_id", "doc_id", "percent", F.greatest(F.lit(30), 95 - 15 * (F.col("rank") - 1)).cast("int").alias("relevance"))
+
+
+def _cos(keep: str = "true", k: int = 5) -> str:
+    return f"""dn AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+ FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON v.vec_id <> q.vec_id WHERE {keep}), {_top('dn', k, 'dt')}"""
+
+
+def vectors(spark, d, **how):
+    v = table(spark, d, "embeddings")
+    return D.search(v, v.where("vec_id % 100 = 0"), **how)
+
+
+@query(f"WITH {_cos()} SELECT query_id, doc_id, score, rank FROM dt")
+def cosine_topk(spark, d):
+    return vectors(spark, d, k=5)
+
+
+@query(f"WITH {_cos('v.label = 1')} SELECT query_id, doc_id, score, rank FROM dt")
+def cosine_filtered_topk(spark, d):
+    return vectors(spark, d, k=5, keep=F.col("label") == 1)
+
+
+@query(f"WITH {_cos(k=30)} SELECT query_id, doc_id, score, rank FROM dt WHERE score >= 0.18")
+def dense_floor(spark, d):
+    return vectors(spark, d, k=30, floor=0.18)
+
+
+# A document's dense score here is a deterministic stand-in: the weighted field percentage.
+DENSE = f"dl0 AS (SELECT query_id, doc_id, percent / 100.0::DOUBLE AS score FROM wp WHERE percent >= 18), {_top('dl0', 30, 'dl1')}"
+
+
+def dense_like(spark, d):
+    s = weighted(spark, d).where("percent >= 18").select("query_id", "doc_id", (F.col("percent") / F.lit(100.0)).alias("score"))
+    return L.top(s, 30)
+
+
+def _mm(src: str, name: str) -> str:
+    return f"{name} AS (SELECT query_id, doc_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS norm FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {src}))"
+
+
+@query(f"WITH {FULL}, {_top('sc', 30, 't')}, {_mm('t', 'm')} SELECT query_id, doc_id, round(norm, 6) AS norm FROM m")
+def minmax_scores(spark, d):
+    m = U.min_max(L.top(full_scores(spark, d), 30))
+    return m.select("query_id", "doc_id", F.round("norm", 6).alias("norm"))
+
+
+HYBRID = f"""{FULL}, {QUEST}, {FIELDS}, {WQ}, {DENSE}, {_top('sc', 30, 's1')}, {_top('(SELECT * FROM qsc WHERE score > 0)', 30, 'q0')},
+q1 AS (SELECT q0.* FROM q0 SEMI JOIN (SELECT query_id, doc_id FROM dl1 UNION SELECT query_id, doc_id FROM s1) c ON q0.query_id = c.query_id AND q0.doc_id = c.doc_id),
+{_mm('dl1', 'dm')}, {_mm('s1', 'sm')}, {_mm('q1', 'qm')},
+hy AS (SELECT query_id, doc_id, round(0.7 * dd + 0.3 * ss + 0.28 * qq + CASE WHEN dd > 0 AND ss > 0 THEN 0.06 ELSE 0 END, 6) AS score FROM (
+ SELECT query_id, doc_id, coalesce(max(norm) FILTER (tag = 'd'), 0) AS dd, coalesce(max(norm) FILTER (tag = 's'), 0) AS ss, coalesce(max(norm) FILTER (tag = 'q'), 0) AS qq FROM (
+ SELECT *, 'd' AS tag FROM dm UNION ALL SELECT *, 's' FROM sm UNION ALL SELECT *, 'q' FROM qm) GROUP BY 1, 2))"""
+CKEY = r"lower(regexp_replace(substr(trim(text), 1, 120), '[\s\p{P}\p{S}\x{200B}-\x{200F}\x{064B}-\x{065F}]', '', 'g'))"
+DEDUPED = f"""dd AS (SELECT query_id, doc_id, score FROM (SELECT h.*, {CKEY} AS k, row_number() OVER (PARTITION BY query_id, {CKEY} ORDER BY score DESC, h.doc_id) AS r FROM hy h JOIN documents USING (doc_id)) WHERE r = 1 OR k = '')"""
+
+
+def hybrid(spark, d):
+    return U.weighted(dense_like(spark, d), L.top(full_scores(spark, d), 30), L.top(question_scores(spark, d), 30))
+
+
+@query(f"WITH {HYBRID} SELECT query_id, doc_id, score FROM hy")
+def weighted_fusion(spark, d):
+    return hybrid(spark, d).select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {HYBRID}, {DEDUPED}, {_top('dd', 6, 't')} SELECT query_id, doc_id, score, rank FROM t")
+def hybrid_search(spark, d):
+    rows = hybrid(spark, d).select("query_id", "doc_id", "score").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return L.top(U.dedupe(rows, T.content_key(F.col("text"))).drop("text"), 6).select("query_id", "doc_id", "score", "rank")
+
+
+RRF = f"""{FULL}, {QUEST}, {FIELDS}, {WQ}, {DENSE}, {_top('sc', 50, 'r1')}, {_top('(SELECT * FROM qsc WHERE score > 0)', 50, 'r2')},
+rr AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank::DOUBLE)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM r1 UNION ALL SELECT query_id, doc_id, rank FROM r2 UNION ALL SELECT query_id, doc_id, rank FROM dl1) GROUP BY 1, 2)"""
+
+
+def rrf(spark, d):
+    return U.reciprocal_rank([L.top(full_scores(spark, d), 50), L.top(question_scores(spark, d), 50), dense_like(spark, d)])
+
+
+@query(f"WITH {RRF}, {_top('rr', 20, 't')} SELECT query_id, doc_id, score, rank FROM t")
+def rrf_fusion(spark, d):
+    return L.top(rrf(spark, d), 20)
+
+
+FAST = f"{FULL}, {QUEST}, {_top('sc', 36, 'f1')}, {_top('(SELECT * FROM qsc WHERE score > 0)', 36, 'f2')}, fc AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT query_id, doc_id, score FROM f1 UNION ALL SELECT query_id, doc_id, score * 1.5 FROM f2) GROUP BY 1, 2)"
+
+
+def fast(spark, d):
+    return U.combine_question(L.top(full_scores(spark, d), 36), L.top(question_scores(spark, d), 36))
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')} SELECT query_id, doc_id, score, rank FROM fr")
+def fast_combined_score(spark, d):
+    return L.top(fast(spark, d), 30)
+
+
+MARKS = "mk AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 0.8 ELSE 0.5 END)::DOUBLE AS mark FROM labels GROUP BY 1)"
+
+
+def marks(spark, d):
+    return table(spark, d, "labels").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 0.8).otherwise(0.5)).alias("mark"))
+
+
+@query(f"WITH {RRF}, {MARKS}, x AS (SELECT query_id, doc_id, 0.3::DOUBLE * score + 0.7::DOUBLE * mark AS score FROM rr JOIN mk USING (doc_id) WHERE mark >= 0.55), {_top('x', 5, 't')} SELECT query_id, doc_id, score, rank FROM t")
+def heavy_search(spark, d):
+    fused = rrf(spark, d)
+    scored = fused.select("query_id", "doc_id").join(marks(spark, d), "doc_id")
+    return L.top(U.rerank_mix(fused, scored).select("query_id", "doc_id", "score"), 5)
+
+
+@query(f"WITH {RRF}, {_top('rr', 12, 't')}, {MARKS} SELECT query_id, doc_id, score, mark, CASE WHEN mark IS NULL THEN 'unscored' WHEN mark < 0.75 THEN 'rejected' ELSE 'kept' END AS verdict FROM t LEFT JOIN mk USING (doc_id)")
+def rerank_gate(spark, d):
+    t = L.top(rrf(spark, d), 12).join(marks(spark, d), "doc_id", "left")
+    return t.select("query_id", "doc_id", "score", "mark", F.when(F.col("mark").isNull(), "unscored").when(F.col("mark") < 0.75, "rejected").otherwise("kept").alias("verdict"))
+
+
+# ---- gates -------------------------------------------------------------------------------
+
+FLOORS = "fl AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM fr) WHERE score >= 1.5 AND (rank = 1 OR score >= 0.55 * best))"
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')}, {FLOORS} SELECT query_id, doc_id, score, rank FROM fl")
+def score_floors(spark, d):
+    return G.score_floors(L.top(fast(spark, d), 30))
+
+
+ANCH = rf"""hw AS (SELECT query_id, doc_id, unnest(list_distinct({TOKENS})) AS term FROM fr JOIN documents USING (doc_id)), ps AS (SELECT query_id, count(*) AS pool FROM fr GROUP BY 1),
+aw AS (SELECT item_id AS query_id, unnest(list_distinct({STOPPED % 'text'})) AS term FROM benchmark),
+an AS (SELECT query_id, term FROM (SELECT query_id, term, count(*) AS df FROM hw JOIN aw USING (query_id, term) GROUP BY 1, 2) JOIN ps USING (query_id) WHERE df < 0.3 * pool)"""
+FILTER = rf"""qa AS (SELECT query_id, doc_id, count(*) AS aq FROM (SELECT query_id, doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower({Q}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2))) AS term FROM fr JOIN documents USING (doc_id)) JOIN an USING (query_id, term) GROUP BY 1, 2),
+ba AS (SELECT query_id, doc_id, count(*) AS ab FROM hw JOIN an USING (query_id, term) GROUP BY 1, 2), na AS (SELECT query_id, count(*) AS n FROM an GROUP BY 1),
+am AS (SELECT *, CASE WHEN n IS NULL THEN 'no_anchors' WHEN mq > 0 THEN 'question' WHEN mb > 0 THEN 'body_fallback' ELSE 'miss' END AS mode FROM (
+ SELECT fr.query_id, fr.doc_id, score, rank, coalesce(aq, 0) AS aq, coalesce(ab, 0) AS ab, n, max(coalesce(aq, 0)) OVER (PARTITION BY fr.query_id) AS mq, max(coalesce(ab, 0)) OVER (PARTITION BY fr.query_id) AS mb
+ FROM fr LEFT JOIN qa USING (query_id, doc_id) LEFT JOIN ba USING (query_id, doc_id) LEFT JOIN na USING (query_id))),
+af AS (SELECT * FROM am WHERE mode = 'no_anchors' OR (mode = 'question' AND aq > 0) OR (mode = 'body_fallback' AND ab > 0))"""
+
+
+def _anchored(spark, d):
+    hits = L.top(fast(spark, d), 30)
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    found = G.anchors(hits, texts, table(spark, d, "benchmark"), "item_id", F.col("text"))
+    in_q, in_b = (G.anchor_hits(hits, texts, found, c) for c in (T.question_of(F.col("text")), F.col("text")))
+    return found, G.anchor_filter(hits, in_q, in_b, found)
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')}, {ANCH} SELECT query_id, term FROM an")
+def anchor_tokens(spark, d):
+    return _anchored(spark, d)[0]
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')}, {ANCH}, {FILTER} SELECT query_id, doc_id, mode, aq, ab FROM af")
+def anchor_filter(spark, d):
+    return _anchored(spark, d)[1].select("query_id", "doc_id", "mode", "aq", "ab")
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')}, {ANCH}, {FILTER} SELECT query_id, doc_id, aq FROM (SELECT *, max(aq) OVER (PARTITION BY query_id) AS best FROM af) WHERE best < 2 OR aq >= greatest(1, ceil(best * 0.5))")
+def anchor_coverage(spark, d):
+    return G.coverage_floor(_anchored(spark, d)[1]).select("query_id", "doc_id", "aq")
+
+
+GROUPS = "gr AS (SELECT DISTINCT source, 'g' || (substr(source, 4)::INT % 3) AS grp FROM documents), wn AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'g' || (item_id % 3) END AS wanted FROM benchmark), al AS (SELECT h.*, wanted, grp FROM (SELECT fr.*, source FROM fr JOIN documents USING (doc_id)) h LEFT JOIN gr USING (source) LEFT JOIN wn USING (query_id) WHERE wanted IS NULL OR grp = wanted)"
+
+
+def _allowed(spark, d):
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    grp = docs.select("source", F.concat(F.lit("g"), (F.substring("source", 4, 9).cast("int") % 3).cast("string")).alias("grp")).distinct()
+    wanted = bench.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string"))).alias("wanted"))
+    return G.allow(L.top(fast(spark, d), 30).join(docs.select("doc_id", "source"), "doc_id"), grp, wanted)
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')}, {GROUPS} SELECT query_id, doc_id, source, wanted FROM al")
+def allowlist_filter(spark, d):
+    return _allowed(spark, d).select("query_id", "doc_id", "source", "wanted")
+
+
+@query(f"WITH {FAST}, {_top('fc', 30, 'fr')}, {GROUPS} SELECT count(*) AS leaks FROM al WHERE wanted IS NOT NULL AND (grp IS NULL OR grp <> wanted)")
+def leak_check(spark, d):
+    return G.leaks(_allowed(spark, d)).agg(F.count("*").alias("leaks"))
+
+
+LANG_WORDS = [("en", "the"), ("de", "und"), ("fr", "et"), ("es", "los"), ("es", "de la")]
+
+
+@query(rf"""SELECT item_id AS query_id, CASE """ + " ".join(f"WHEN {'contains(lower(text), ' + repr(w) + ')' if ' ' in w else 'list_contains(ts, ' + repr(w) + ')'} THEN '{g}'" for g, w in LANG_WORDS) + r""" END AS grp FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM benchmark)""")
+def group_detection(spark, d):
+    return G.detect_group(table(spark, d, "benchmark"), "item_id", F.col("text"), LANG_WORDS)
