@@ -1 +1,239 @@
-"""."""
+"""Registered queries: deduplication, hierarchies, contexts, query understanding, routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import context as C
+from ..operators import lexical as L
+from ..operators import records as R
+from ..operators import routing as O
+from ..operators import tree as X
+from ..registry import query, table
+from . import retrieval as V
+from .corpus import A, Q, WORDS
+from .retrieval import CKEY, FIELDS, FULL, MARKS, RRF, STOPPED, WQ, _top
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+# ---- deduplication -----------------------------------------------------------------------
+
+
+def _first(key: str) -> str:
+    return f"SELECT doc_id FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS r FROM (SELECT doc_id, {key} AS k FROM documents)) WHERE r = 1 OR k = ''"
+
+
+@query(_first(CKEY))
+def dedupe_content_key(spark, d):
+    return R.keep_first(_docs(spark, d), T.content_key(F.col("text")), ["doc_id"]).select("doc_id")
+
+
+@query(_first(f"sha1(substr({Q}, 1, 200) || '|' || substr({A}, 1, 400))"))
+def dedupe_sha1(spark, d):
+    t = F.col("text")
+    key = F.sha1(F.concat_ws("|", F.substring(T.question_of(t), 1, 200), F.substring(T.answer_of(t), 1, 400)))
+    return R.keep_first(_docs(spark, d), key, ["doc_id"]).select("doc_id")
+
+
+@query(_first(rf"trim(regexp_replace({Q} || ' ' || substr({A}, 1, 200), '\s+', ' ', 'g'))"))
+def dedupe_whitespace(spark, d):
+    t = F.col("text")
+    key = F.trim(F.regexp_replace(F.concat_ws(" ", T.question_of(t), F.substring(T.answer_of(t), 1, 200)), r"\s+", " "))
+    return R.keep_first(_docs(spark, d), key, ["doc_id"]).select("doc_id")
+
+
+@query("SELECT count(*) AS texts, count(DISTINCT text) AS embedded, count(*) - count(DISTINCT text) AS saved FROM documents")
+def embed_unique_texts(spark, d):
+    return _docs(spark, d).agg(F.count("*").alias("texts"), F.countDistinct("text").alias("embedded")).withColumn("saved", F.col("texts") - F.col("embedded"))
+
+
+# ---- hierarchies -------------------------------------------------------------------------
+
+HEADS = r"""hd AS (SELECT id, (line - 1)::BIGINT AS line, h[3:3]::INT AS level, substr(trim(regexp_replace(h, '<[^>]*>', '', 'g')), 1, 200) AS title FROM (
+ SELECT page_id AS id, unnest(l) AS h, generate_subscripts(l, 1) AS line FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>[^<]*') AS l FROM pages)))"""
+
+
+@query(f"WITH {HEADS} SELECT id, line, level, title, greatest(" + ", ".join(f"CASE WHEN {k} < level THEN max(CASE WHEN level = {k} THEN line END) OVER w END" for k in range(1, 6)) + ") AS parent FROM hd WINDOW w AS (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def tree_headings(spark, d):
+    return X.heading_tree(X.headings(table(spark, d, "pages"), "page_id", F.col("html")))
+
+
+LEVELS = ["lang", "source"]
+
+
+@query("SELECT concat_ws('/', lang, source) AS path, CASE WHEN source IS NULL THEN 1 ELSE 2 END AS level, count(*) AS n_leaves FROM documents GROUP BY ROLLUP (lang, source) HAVING grouping(lang) = 0")
+def tree_leaf_counts(spark, d):
+    return X.nodes(_docs(spark, d), LEVELS)
+
+
+NTERMS = f"""nt0 AS (SELECT DISTINCT lang, source, term FROM (SELECT lang, source, unnest(list_filter({STOPPED % Q}, lambda t: length(t) >= 3)) AS term FROM documents)),
+nt AS (SELECT DISTINCT lang AS path, 1 AS level, term FROM nt0 UNION ALL SELECT DISTINCT lang || '/' || source, 2, term FROM nt0)"""
+
+
+@query(f"WITH {NTERMS} SELECT path, level, count(*) AS terms FROM nt GROUP BY 1, 2")
+def tree_keywords(spark, d):
+    return X.node_terms(_docs(spark, d), LEVELS, T.question_of(F.col("text"))).groupBy("path", "level").agg(F.count("*").alias("terms"))
+
+
+NAV = f"""aq AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({STOPPED % 'text'}, lambda t: length(t) >= 3))) AS term FROM benchmark),
+nh AS (SELECT query_id, path, level, count(*) AS hits FROM nt JOIN aq USING (term) GROUP BY 1, 2, 3),
+n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, path) AS rank FROM nh WHERE level = 1) WHERE rank <= 2),
+n2 AS (SELECT * FROM (SELECT nh.*, row_number() OVER (PARTITION BY nh.query_id ORDER BY nh.hits DESC, nh.path) AS rank FROM nh SEMI JOIN n1 ON nh.query_id = n1.query_id AND split_part(nh.path, '/', 1) = n1.path WHERE nh.level = 2) WHERE rank <= 3)"""
+
+
+@query(f"WITH {NTERMS}, {NAV} SELECT query_id, path, level, hits, rank FROM n1 UNION ALL SELECT query_id, path, level, hits, rank FROM n2")
+def tree_navigation(spark, d):
+    terms = X.node_terms(_docs(spark, d), LEVELS, T.question_of(F.col("text")))
+    return X.navigate(terms, table(spark, d, "benchmark"), "item_id", F.col("text"))
+
+
+SUBGROUPS = [("articles", ["the", "der", "le ", "el "]), ("joins", ["and", "und", " et ", " y "]), ("other", ["zzz"])]
+
+
+@query(f"SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({Q}), '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in SUBGROUPS) + " ELSE 'other' END AS subgroup FROM documents")
+def subgroup_assignment(spark, d):
+    return _docs(spark, d).select("doc_id", X.assign_group(T.question_of(F.col("text")), SUBGROUPS).alias("subgroup"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) >= 10")
+def large_groups(spark, d):
+    return _docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n")).where("n >= 10")
+
+
+@query(f"""SELECT lang || '/' || source || ' (' || n || '): ' || titles AS line FROM (SELECT lang, source, count(*) AS n, string_agg(title, '; ' ORDER BY r) FILTER (r <= 3) AS titles FROM (
+ SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY title, doc_id) AS r FROM (SELECT lang, source, doc_id, substr({Q}, 1, 60) AS title FROM documents)) GROUP BY 1, 2)""")
+def compact_summary(spark, d):
+    return X.compact_summary(_docs(spark, d), LEVELS, F.substring(T.question_of(F.col("text")), 1, 60))
+
+
+@query("SELECT r_name AS region, n_name AS nation, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def taxonomy_rollup(spark, d):
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("suppliers"))
+
+
+# ---- context -----------------------------------------------------------------------------
+
+
+def _hits(spark, d, k=5):
+    return L.top(V.full_scores(spark, d), k)
+
+
+TRIM = f"""tm AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (
+ SELECT query_id, doc_id, rank, floor(len({WORDS}) * 1.3)::BIGINT AS tokens FROM t JOIN documents USING (doc_id)))"""
+
+
+@query(f"WITH {FULL}, {_top('sc', 5, 't')}, {TRIM} SELECT query_id, doc_id, rank, tokens, least(tokens, 300 - before) AS used FROM tm WHERE (before + tokens <= 300 OR 300 - before > 20) AND 300 - before > 0")
+def trim_budget(spark, d):
+    rows = _hits(spark, d).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return C.trim_to_budget(rows, T.token_estimate(F.col("text")), 300).select("query_id", "doc_id", "rank", "tokens", "used")
+
+
+@query(f"WITH {FULL}, {_top('sc', 5, 't')} SELECT query_id, string_agg('[' || rank || '] ' || substr({Q}, 1, 80), chr(10) ORDER BY rank) AS context FROM t JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1")
+def context_blocks(spark, d):
+    rows = _hits(spark, d).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return C.blocks(rows, T.question_of(F.col("text")))
+
+
+@query(f"WITH {FULL}, {_top('sc', 5, 't')} SELECT query_id, doc_id, md5(substr({A}, 1, 2500)) AS answer FROM t JOIN documents USING (doc_id) WHERE rank = 1")
+def extractive_answer(spark, d):
+    rows = _hits(spark, d).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return C.extractive(rows, T.answer_of(F.col("text"))).withColumn("answer", F.md5("answer"))
+
+
+SYNONYMS = [["the", "der", "le"], ["and", "und", "et", "as well as"], ["of", "von", "de"]]
+_ARR = lambda g: "[" + ", ".join(f"'{w}'" for w in g) + "]"
+
+
+@query(rf"""SELECT query_id, array_to_string(list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 32), ' ') AS expanded FROM (SELECT item_id AS query_id, list_concat(t, {", ".join(f"CASE WHEN list_has_any(t, {_ARR([w for w in g if ' ' not in w])}) THEN {_ARR(g)} ELSE [] END" for g in SYNONYMS)}) AS e FROM (
+ SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2) AS t FROM benchmark))""")
+def synonym_append(spark, d):
+    return C.expand_terms(table(spark, d, "benchmark"), "item_id", F.col("text"), SYNONYMS)
+
+
+MAPPING = {"the": "der", "and": "und", "of": "von"}
+
+
+@query(f"SELECT item_id, array_to_string(list_transform({WORDS}, lambda w: CASE lower(w) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in MAPPING.items()) + " ELSE w END), ' ') AS mapped FROM benchmark")
+def token_map(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.map_tokens(F.col("text"), MAPPING).alias("mapped"))
+
+
+RULES = [("german", r"\b(und|der|die)\b"), ("french", r"\b(et|les|le)\b"), ("spanish", r"\b(los|las|el)\b"), ("english", r"\b(the|and)\b")]
+
+
+@query("SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in RULES) + " ELSE 'general' END AS domain FROM benchmark")
+def domain_rules(spark, d):
+    return table(spark, d, "benchmark").select("item_id", C.rule_domain(F.col("text"), RULES, "general").alias("domain"))
+
+
+PH = rf"(SELECT item_id, text, list_slice(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2), 1, 4) AS w FROM benchmark)"
+
+
+@query(f"""SELECT item_id, doc_id, (CASE WHEN contains(lower(d.text), array_to_string(w, ' ')) THEN 20 ELSE 0 END + 8 * len(list_filter(range(1, len(w)), lambda i: contains(lower(d.text), array_to_string(list_slice(w, i, i + 1), ' ')))) + 10 * len(list_filter(range(1, len(w) - 1), lambda i: contains(lower(d.text), array_to_string(list_slice(w, i, i + 2), ' ')))))::INT AS bonus
+ FROM (WITH {FULL}, {_top('sc', 5, 't')} SELECT * FROM t) t JOIN {PH} q ON t.query_id = q.item_id JOIN documents d USING (doc_id)""")
+def phrase_bonus(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text"), 2), 1, 4).alias("w"))
+    rows = _hits(spark, d).join(q, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return rows.select(F.col("query_id").alias("item_id"), "doc_id", T.phrase_bonus(F.lower("text"), F.col("w")).cast("int").alias("bonus"))
+
+
+# ---- routing -----------------------------------------------------------------------------
+
+KW = f"kw AS (SELECT query_id, lang AS grp, percent FROM wp JOIN documents USING (doc_id) WHERE percent >= 20)"
+KC = """k1 AS (SELECT query_id, grp, max(percent) AS percent FROM kw GROUP BY 1, 2), k2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY percent DESC, grp) AS r FROM k1),
+k3 AS (SELECT query_id, count(*) AS groups, max(percent) AS top, avg(CASE WHEN r <= 3 THEN percent END) AS m3 FROM k2 GROUP BY 1),
+k4 AS (SELECT *, (0.55::DOUBLE * least(top / 100.0::DOUBLE, 1) + 0.1::DOUBLE * CASE WHEN m3 > 0 THEN greatest(0, least(1, top / m3 - 1)) ELSE 0 END) * (0.35::DOUBLE + 0.65::DOUBLE * (groups / 4.0::DOUBLE)) AS c FROM k3),
+kc AS (SELECT query_id, groups, top, round(CASE WHEN groups < 2 THEN least(c, 0.5) ELSE c END, 3) AS confidence FROM k4)"""
+
+
+def _kw(spark, d):
+    return V.weighted(spark, d).where("percent >= 20").join(_docs(spark, d).select("doc_id", F.col("lang").alias("grp")), "doc_id")
+
+
+@query(f"WITH {FIELDS}, {WQ}, {KW}, {KC} SELECT query_id, groups, top, confidence FROM kc")
+def conf_keyword(spark, d):
+    return O.keyword_confidence(_kw(spark, d), 4)
+
+
+RC = f"""rk0 AS (SELECT query_id, lang AS grp, mark FROM rt JOIN documents USING (doc_id) JOIN mk USING (doc_id) WHERE mark >= 0.75), rk1 AS (SELECT query_id, grp, max(coalesce(mark, 0.75)) AS mark, count(*) AS n FROM rk0 GROUP BY 1, 2),
+rc AS (SELECT query_id, count(*) AS groups, max(n) AS pool, round(0.35::DOUBLE * (count(*) / 4.0::DOUBLE) + 0.65::DOUBLE * avg(mark), 3) AS confidence FROM rk1 GROUP BY 1)"""
+
+
+def _rk(spark, d):
+    t = L.top(V.rrf(spark, d), 12).join(V.marks(spark, d), "doc_id").where("mark >= 0.75")
+    return t.join(_docs(spark, d).select("doc_id", F.col("lang").alias("grp")), "doc_id")
+
+
+@query(f"WITH {RRF}, {_top('rr', 12, 'rt')}, {MARKS}, {RC} SELECT query_id, groups, pool, confidence FROM rc")
+def conf_reranked(spark, d):
+    return O.reranked_confidence(_rk(spark, d), 4)
+
+
+TC = "tc AS (SELECT query_id, round(0.4::DOUBLE * (count(DISTINCT grp) / 4.0::DOUBLE) + 0.6::DOUBLE * least(max(percent) / 100.0::DOUBLE, 1), 3) AS confidence FROM kw GROUP BY 1)"
+
+
+@query(f"WITH {FIELDS}, {WQ}, {KW}, {TC} SELECT query_id, confidence FROM tc")
+def conf_tree(spark, d):
+    return O.tree_confidence(_kw(spark, d), 4)
+
+
+@query(f"""WITH {RRF}, {_top('rr', 12, 'rt')}, {MARKS}, {RC}, {KW}, {KC}, {TC} SELECT query_id, route, CASE route WHEN 'keyword' THEN kcc WHEN 'reranked' THEN rcc WHEN 'tree' THEN tcc ELSE 0 END AS confidence FROM (
+ SELECT item_id AS query_id, kc.confidence AS kcc, rc.confidence AS rcc, tc.confidence AS tcc, CASE WHEN kc.confidence >= 0.8 THEN 'keyword' WHEN rc.confidence IS NOT NULL THEN 'reranked' WHEN tc.confidence >= 0.45 AND coalesce(pool, 20) >= 20 THEN 'tree' ELSE 'none' END AS route
+ FROM benchmark LEFT JOIN kc ON kc.query_id = item_id LEFT JOIN rc ON rc.query_id = item_id LEFT JOIN tc ON tc.query_id = item_id)""")
+def route_decision(spark, d):
+    kw = _kw(spark, d)
+    return O.route(table(spark, d, "benchmark"), "item_id", O.keyword_confidence(kw, 4), O.reranked_confidence(_rk(spark, d), 4), O.tree_confidence(kw, 4))
+
+
+@query(f"""WITH {FULL}, {_top('sc', 30, 't')}, b AS (SELECT query_id, lang AS grp, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS r FROM t JOIN documents USING (doc_id)),
+c AS (SELECT query_id, grp, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY r) AS doc_ids FROM b WHERE r <= 5 GROUP BY 1, 2)
+SELECT item_id AS query_id, g.grp, coalesce(n, 0) AS n, coalesce(doc_ids, '') AS doc_ids FROM benchmark CROSS JOIN (SELECT DISTINCT lang AS grp FROM documents) g LEFT JOIN c ON c.query_id = item_id AND c.grp = g.grp""")
+def merge_groups_top5(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.col("lang").alias("grp"))
+    return O.group_cards(_hits(spark, d, 30).join(docs, "doc_id"), docs.select("grp").distinct(), table(spark, d, "benchmark"), "item_id")
