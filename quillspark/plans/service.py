@@ -1 +1,39 @@
-"""."""
+"""Registered queries: operational tables (caches, latencies, event windows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..registry import query, table
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, max(ts) OVER () AS now FROM events) WHERE ts >= now - INTERVAL 3600 SECOND")
+def cache_ttl(spark, d):
+    e = table(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    return e.join(F.broadcast(now), F.col("ts") >= F.col("now") - F.expr("INTERVAL 3600 SECOND")).select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3")
+def cache_eviction(spark, d):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 3").select("user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
+def latency_percentiles(spark, d):
+    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), disc(0.5).alias("p50"), disc(0.99).alias("p99"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, d):
+    w = F.window("ts", "1 hour")
+    return table(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+@query("SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s")
+def events_session(spark, d):
+    w = F.session_window("ts", "30 minutes")
+    return table(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
