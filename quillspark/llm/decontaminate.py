@@ -116,10 +116,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
-    """docs without those that hold an item. The matched ids are a small share and are joined by id."""
+    """docs without those that hold an item. The matched ids are broadcast if they are few, else joined by id."""
     id_col = how.get("id_col", "doc_id")
     ids = contaminated(docs, bench, **how).select(F.col("id").alias("__id")).distinct()
-    return docs.join(ids, F.col(id_col) == F.col("__id"), "left_anti")
+    ids = Scratch(docs.sparkSession, "contaminated").write(ids, "ids")
+    return docs.join(_broadcast(ids), F.col(id_col) == F.col("__id"), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,10 @@ BLOCK = 1 << 15
 #: Most fingerprints in a tile, on average; a tile pair holds at most its square in memory, a slice at a time.
 TILE = 2048
 SLICE = 256
+#: Hashes in a tile that carries whole sets, about.
+SET_TILE = 1 << 20
+#: Columns of the further words of wide fingerprints.
+MORE = ["fp2", "fp3", "fp4"]
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -60,53 +64,88 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _second(h: np.ndarray) -> np.ndarray:
-    """Another 64 hash bits from the first, by a bijective mixer."""
+def _further(h: np.ndarray) -> np.ndarray:
+    """Another 64 hash bits from the ones before, by a bijective mixer."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(32))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, wide: bool = False, keep: dict[str, Column] | None = None) -> DataFrame:
-    """One row per input row: the id, ``fp`` (and ``fp2``, 64 further bits, if wide), ``size`` (shingles) and the columns in keep."""
+    """One row per input row: the id, ``fp`` (if wide, of the set of shingles, with 192 further bits in ``more``), ``size`` (shingles) and the columns in keep."""
+
+    names = ["fp", "size", *MORE * wide]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, fp2, size = [], [], []
+            fp, more, size = [], [[], [], []], []
             for text in batch.column(0):
                 h = shingle_hashes(text.as_py(), words)
                 if wide:
                     h = np.unique(h)
                 fp.append(majority_bits(h))
-                fp2.append(majority_bits(_second(h)) if wide else 0)
                 size.append(len(h))
-            cols = [pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array(size, pa.int64()), *batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["fp", "fp2", "size", *batch.schema.names[1:]])
+                for words_of in more if wide else ():
+                    h = _further(h)
+                    words_of.append(majority_bits(h))
+            cols = [pa.array(x, pa.int64()) for x in (fp, size, *(more if wide else ()))] + list(batch.columns[1:])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *batch.schema.names[1:]])
 
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias(id_col), *[c.alias(k) for k, c in (keep or {}).items()])
-    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in ("fp", "fp2", "size")), *source.schema.fields[1:]])
+    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in names), *source.schema.fields[1:]])
     return source.mapInArrow(run, schema)
 
 
-def _unpack(col: pa.Array) -> list[np.ndarray]:
-    values, at = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-    return [values[a:b] for a, b in itertools.pairwise(at)]
+def _unpack(col: pa.Array) -> list:
+    """Arrays of a list column; lists of arrays of a list of lists."""
+    values = _unpack(col.values) if pa.types.is_list(col.values.type) else col.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in itertools.pairwise(col.offsets.to_numpy())]
+
 
+def similar_links(i: np.ndarray, j: np.ndarray, d: np.ndarray, shift: int, left: list[np.ndarray], right: list[np.ndarray], n: int, bound: float) -> np.ndarray:
+    """Positions of links that span what the pairs of sets with Jaccard similarity of bound or more connect.
 
-def _links(a: dict, b: dict | None, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    Each left set in turn meets its nearest candidates that are not yet in its group, in doubling
+    portions, so a large group of copies is soon one and its other pairs are passed over."""
+    label, chosen = np.arange(n), []
+    order = np.lexsort((d, i))
+    for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        own, portion = left[i[part[0]]], 4
+        while len(part):
+            part = part[label[i[part]] != label[j[part] + shift]]
+            now, part, portion = part[:portion], part[portion:], portion * 2
+            if not len(now):
+                break
+            sets = [right[k] for k in j[now].tolist()]
+            sizes = np.array([len(s) for s in sets])
+            pool = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(own, pool), len(own) - 1) if len(own) else np.zeros(len(pool), np.int64)
+            hit = np.concatenate([[0], np.cumsum(own[at] == pool if len(own) else np.zeros(len(pool), bool))])
+            ends = np.cumsum(sizes)
+            both = hit[ends] - hit[ends - sizes]
+            for k in now[both >= bound * (len(own) + sizes - both)].tolist():
+                a, b = label[i[k]], label[j[k] + shift]
+                if a != b:
+                    label[label == max(a, b)] = min(a, b)
+                    chosen.append(k)
+    return np.array(chosen, np.int64)
+
+
+def _links(a: dict, b: dict | None, first: int, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in a, positions in b and distances of all links between two tiles, or within one (b None)."""
     ii, jj, dd = [], [], []
     other = b or a
     for at in range(0, len(a["fp"]), SLICE):
         d = np.bitwise_count(a["fp"][at : at + SLICE, None] ^ other["fp"][None, :])
-        i, j = np.nonzero(d <= radius)
+        i, j = np.nonzero(d <= first)
         d = d[i, j].astype(np.int16)
         i = i + at
         if b is None:
             up = j > i
             i, j, d = i[up], j[up], d[up]
         if "fp2" in a and len(i):
-            d = d + np.bitwise_count(a["fp2"][i] ^ other["fp2"][j])
+            for word in MORE:
+                d = d + np.bitwise_count(a[word][i] ^ other[word][j])
             near = d <= radius
             i, j, d = i[near], j[near], d[near]
         if ratio and len(i):
@@ -151,16 +190,20 @@ def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, n: int) ->
     return order[np.concatenate(chosen)] if chosen else np.empty(0, np.int64)
 
 
-def tiled_links(spark: SparkSession, reps: DataFrame, scratch: Scratch, radius: int, *, ratio: float = 0.0, wide: bool = False, labels: bool = False, every: bool = False) -> DataFrame:
-    """Links ``(a, b)`` of nodes among ``reps(node, fp[, fp2, size][, label])`` at up to radius differing bits.
+def tiled_links(spark: SparkSession, reps: DataFrame, scratch: Scratch, radius: int, *, first: int | None = None, ratio: float = 0.0, wide: bool = False, labels: bool = False, give: str = "forest") -> DataFrame:
+    """Links ``(a, b)`` of nodes among ``reps(node, fp[, size, fp2, fp3, fp4][, label])`` at up to radius
+    differing bits, and up to ``first`` in the first word.
 
     Small radii (no ratio): a cell is the population counts of the four 16-bit quarters, and two
     cells can hold a link only if these counts differ by radius or less in sum. With a ratio,
     the fingerprints are of sets whose sizes must lie within it, and a cell is a band of set
-    sizes; links lie in one band or the next. ``every``: all links, else a spanning forest
-    of each tile pair. ``labels``: skip nodes of one label.
+    sizes; links lie in one band or the next. ``labels``: skip pairs of one label. ``give``:
+    "forest" a spanning forest of each tile pair's links; "nodes" every node that has a link, as
+    (node, node); "similar" reps carry the sorted ``hashes`` of their sets, links are held to the
+    ratio as exact Jaccard similarity, and a spanning forest of those that reach it is given.
     """
-    fields = ["node", "fp", *["fp2", "size"] * wide, *["label"] * labels]
+    with_sets = give == "similar"
+    fields, first = ["node", "fp", *["size", *MORE] * wide, *["label"] * labels, *["hashes"] * with_sets], radius if first is None else first
     if ratio:
         band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio)))
         cell, steps = band.cast("long"), [0, 1]
@@ -172,7 +215,8 @@ def tiled_links(spark: SparkSession, reps: DataFrame, scratch: Scratch, radius:
         steps = sorted(s for s in steps if s >= 0)
     reps = reps.withColumn("cell", cell)
     # At most 17^4 cells by population counts, or one per band of sizes: bounded whatever the input.
-    blocks = reps.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    held = F.ceil(F.count("*") / TILE)
+    blocks = reps.groupBy("cell").agg((F.greatest(held, F.ceil(F.sum("size") / SET_TILE)) if with_sets else held).alias("blocks"))
     dealt = reps.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
     tiles = scratch.write(dealt.groupBy("cell", "block").agg(*[F.collect_list(c).alias(c) for c in fields]).withColumn("tile", F.struct("cell", "block")), "tiles")
     ids = tiles.select("cell", "block")
@@ -196,15 +240,22 @@ def tiled_links(spark: SparkSession, reps: DataFrame, scratch: Scratch, radius:
                 p, q = ({f: v[k] for f, v in side.items()} for side in (x, y))
                 for side in (p, q):
                     side["fp"] = side["fp"].view(np.uint64)
-                    if wide:
-                        side["fp2"] = side["fp2"].view(np.uint64)
-                i, j, d = _links(p, None if same else q, radius, ratio)
-                if len(i) and not every:
-                    shift = 0 if same else len(p["fp"])
+                    for word in MORE * wide:
+                        side[word] = side[word].view(np.uint64)
+                i, j, d = _links(p, None if same else q, first, radius, ratio)
+                if not len(i):
+                    continue
+                other = p if same else q
+                if give == "nodes":
+                    seen = np.unique(np.concatenate([p["node"][i], other["node"][j]]))
+                    out_a.append(seen), out_b.append(seen)
+                    continue
+                shift = 0 if same else len(p["fp"])
+                if with_sets:
+                    f = similar_links(i, j, d, shift, p["hashes"], other["hashes"], len(p["fp"]) + (0 if same else len(q["fp"])), ratio)
+                else:
                     f = spanning_forest(i, j + shift, d, len(p["fp"]) + (0 if same else len(q["fp"])))
-                    i, j = i[f], j[f]
-                if len(i):
-                    out_a.append(p["node"][i]), out_b.append((p if same else q)["node"][j])
+                out_a.append(p["node"][i[f]]), out_b.append(other["node"][j[f]])
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
@@ -228,10 +279,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- near-duplicate removal by verified similarity ---------------------------------------
 
-#: Differing bits of 128 up to which texts are candidates: shingle sets of similarity 0.8 are 19 bits
-#: apart on average with a deviation of 4.1, unrelated ones 64 with 5.7. Sets of few shingles
-#: deviate more, so the radius lies about six deviations out; candidates are then compared exactly.
-CANDIDATE_BITS = 44
+#: Differing bits of 256, and of the first 64, up to which texts are candidates. Shingle sets of similarity
+#: 0.8 are 39 bits apart on average with a deviation of 5.7 (the smallest sets 48 and 6.2), unrelated ones 128 with 8:
+#: the bounds leave five deviations on one side and seven on the other. Candidates are then compared exactly.
+CANDIDATE_BITS, FIRST_BITS = 68, 24
+#: Rows of ids up to which they are broadcast to a filter of the texts; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -245,59 +302,67 @@ def _similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity:
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            made = [np.unique(shingle_hashes(t.as_py(), words).view(np.int64)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     return docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("t")).mapInArrow(run, "node long, hashes array<long>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bits: int = CANDIDATE_BITS) -> DataFrame:
-    """``(key, id, keep)`` for each distinct text: whether it is the one that its group of near-duplicates keeps.
+def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bits: int = CANDIDATE_BITS, first: int = FIRST_BITS) -> tuple[DataFrame, DataFrame]:
+    """``(key, id)`` of all rows, and ``(key, id, keep)`` for each distinct text: whether its lowest id is the one
+    that its group of near-duplicates keeps.
 
-    Texts are linked if the Jaccard similarity of their word shingles reaches the bound (128-bit
+    Texts are linked if the Jaccard similarity of their word shingles reaches the bound (256-bit
     SimHash tiles find the candidates, an exact comparison decides); groups are what links
-    connect; the smallest id of a group stays. Blank texts and nulls are groups of equal
-    (empty) texts. First only a spanning forest of each tile pair's candidates is compared;
-    then every candidate pair that is still in two groups, so groups of thousands of copies
-    never meet pair by pair and no candidate is left undecided.
+    connect; the smallest id of a group stays. Blank texts are a group if they are equal; texts whose
+    rows all have a null id are compared for equality only. First only a spanning forest of each
+    tile pair's candidates is compared; then the nodes with candidates still in two groups meet again
+    tile by tile with their whole sets, and each such pair is decided there or passed over because its
+    group is already one: no row is made for a pair, and no candidate is left undecided.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    made = fingerprints(docs, id_col, text_col, words, wide=True, keep={"key": text_key(F.col(text_col))})
-    marked = made.groupBy("key").agg(F.min(id_col).alias("id"), *[F.first(c).alias(c) for c in ("fp", "fp2", "size")])
-    marked = scratch.write(marked, "representatives")
-    reps = marked.where("id is not null").select(F.col("id").alias("node"), "fp", "fp2", "size", "key")
-    small = reps.drop("key")
-    found = scratch.write(tiled_links(spark, small, scratch, bits, ratio=similarity, wide=True).distinct(), "candidates")
+    made = fingerprints(docs, id_col, text_col, words, wide=True, keep={"key": text_key(F.col(text_col))}).withColumnRenamed(id_col, "id")
+    rows = scratch.write(made, "rows")
+    marked = scratch.write(rows.groupBy("key").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "size", *MORE)]), "representatives")
+    reps = marked.where("id is not null").select(F.col("id").alias("node"), "fp", "size", *MORE, "key")
+    small, how = reps.drop("key"), {"first": first, "ratio": similarity, "wide": True}
+    found = scratch.write(tiled_links(spark, small, scratch, bits, **how).distinct(), "candidates")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(needed, F.col("__id") == F.col("node"), "left_semi")
-        keyed = texts.select(F.col("__id").alias("node"), "__t", text_key(F.col("__t")).alias("key")).join(reps.select("node", "key"), ["node", "key"], "left_semi")
-        return scratch.write(shingle_sets(keyed, "node", "__t", words).dropDuplicates(["node"]), "sets")
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "key"), "node")
+        needed = _small(scratch.write(needed.select(F.col("node").alias("__node"), F.col("key").alias("__key")), "needed"))
+        texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("t")).withColumn("key", text_key(F.col("t")))
+        texts = texts.join(needed, (F.col("node") == F.col("__node")) & (F.col("key") == F.col("__key")), "left_semi")
+        return scratch.write(shingle_sets(texts, "node", "t", words).groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
 
     sets = sets_of(found)
     judged = scratch.write(_similar(spark, found, sets, similarity), "judged")
     linked = judged.where("ok").select("a", "b")
     parts = scratch.write(connected_components(spark, linked, scratch), "parts")
     labelled = small.join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    rest = tiled_links(spark, labelled, scratch, bits, ratio=similarity, wide=True, labels=True, every=True)
-    rest = scratch.write(rest.distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    more = scratch.write(_similar(spark, rest, sets_of(rest), similarity).where("ok").select("a", "b"), "more")
-    if more.isEmpty():
-        final = parts
-    else:
-        final = connected_components(spark, linked.union(more), scratch)
-    scratch.drop(sets)
-    return marked.join(final, marked.id == final.node, "left").select("key", "id", F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("keep"))
+    # candidates that the forest left in two groups: their nodes come together again with their whole sets
+    open_nodes = scratch.write(tiled_links(spark, labelled, scratch, bits, labels=True, give="nodes", **how).select(F.col("a").alias("node")).distinct(), "open")
+    open_sets = sets_of(open_nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    carried = labelled.join(open_sets, "node")
+    more = scratch.write(tiled_links(spark, carried, scratch, bits, labels=True, give="similar", **how), "more")
+    final = parts if more.isEmpty() else connected_components(spark, linked.union(more), scratch)
+    scratch.drop(sets, open_sets)
+    named = marked.join(final, marked.id == final.node, "left")
+    return rows.select("key", "id"), named.select("key", "id", F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, one of each group of near-duplicates: all columns as they came."""
-    kept = near_duplicates(docs, id_col, text_col, **how).where("keep").select(F.col("key").alias("__key"), F.col("id").alias("__id"))
-    rows = docs.withColumn("__key", text_key(F.col(text_col))).join(kept, "__key").where(F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    # Rows that repeat both id and text are one document; the key spreads them evenly.
-    return rows.dropDuplicates([id_col, "__key"]).drop("__key")
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows, kept = near_duplicates(docs, scratch, id_col, text_col, **how)
+    kept = kept.select("key", F.col("id").alias("__kept"), "keep")
+    gone = rows.join(kept, "key").where(~(F.col("keep") & F.col("id").eqNullSafe(F.col("__kept"))))
+    gone = _small(scratch.write(gone.select(F.col("key").alias("__gone"), F.col("id").alias("__id")).distinct(), "gone"))
+    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
+    left = keyed.join(gone, (F.col("__key") == F.col("__gone")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    if not rows.groupBy("key", "id").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col, "__key"])  # rows that repeat both id and text are one document
+    return left.drop("__key")
 
 
 # ---- registered query --------------------------------------------------------------------
