@@ -88,6 +88,9 @@ class Model:
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.langs = sorted(counts)
         n = len(self.langs)
+        self.limits = np.full(n, np.inf)
+        if not n:
+            return  # nothing to learn from: every text is undetermined
         by_order: list[list[dict[str, int]]] = []
         for lang in self.langs:
             orders: list[dict[str, int]] = [defaultdict(int) for _ in range(ORDER + 1)]
@@ -125,7 +128,6 @@ class Model:
             below = probs
             self.grams.append(self._sorted(probs, n))
             self.contexts[k - 1] = self._sorted(weights, n) if k > 1 else (np.empty(0, np.uint64), np.array([[math.log(w) for w in weights[""]]]))
-        self.limits = np.full(n, np.inf)
 
     @classmethod
     def of(cls, state: dict) -> Model:
