@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 from collections import Counter
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 #: Bytes of text for a shard, about; and words that an encoder remembers.
-SHARD_BYTES, REMEMBER = 16 << 20, 1_000_000
+SHARD_BYTES, REMEMBER = 16 << 20, 1_600_000
 END_ID = 1
 
 
@@ -48,8 +49,8 @@ class Encoder:
 
     The vocabulary's splitter never joins what white space parts, nor a mark of ``.,;:!?`` that
     ends a word after a letter or digit with that word, and A-Z are lower-cased by it; so a
-    text's ids are its words' ids in order. New words are encoded together, with a special
-    token between them. Texts with ``<|`` may hold special tokens and go to the library whole.
+    text's ids are its words' ids in order. New words are encoded together, with a
+    special token between those that are more than letters. Texts with ``<|`` may hold special tokens and go to the library whole.
     """
 
     between = "<|endoftext|>"
@@ -62,7 +63,12 @@ class Encoder:
         self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.unit = np.dtype(self.kind).itemsize
         self.known: dict[bytes, bytes] = {}
+        self.code = "H" if self.kind == "<u2" else "I"
         self.stop = self.lib.token_to_id(self.between)
+        # the byte alphabet of such vocabularies: printable Latin-1 as itself, the other bytes from 256 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.spell = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -75,6 +81,10 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _store(self, words, ids, starts: np.ndarray, ends: np.ndarray) -> None:
+        data, u = np.array(ids, self.kind).tobytes(), self.unit
+        self.known.update(zip(words, (data[i:j] for i, j in zip((starts * u).tolist(), (ends * u).tolist(), strict=True)), strict=True))
+
     def _learn(self, words: set[bytes]) -> None:
         known, plain, ended = self.known, {}, []
         for w in words:
@@ -87,12 +97,18 @@ class Encoder:
                         plain[x] = None
             else:
                 plain[w] = None
+        texts = {x: x.decode("utf-8") for x in plain}
+        # a word of letters alone is one piece of the splitter and goes to the model as it is, its bytes spelled in the vocabulary's way
+        split, spell, pack = self.lib.model.tokenize, self.spell, struct.Struct
+        for x, s in texts.items():
+            if s.isalpha() and s == s.lower() and (s.isascii() or unicodedata.is_normalized("NFC", s)):
+                ids = [k.id for k in split(s if s.isascii() else "".join([spell[c] for c in x]))]
+                known[x] = pack(f"<{len(ids)}{self.code}").pack(*ids)
+                del plain[x]
         if plain:
-            ids = np.array(self.lib.encode_batch_fast([self.between.join(x.decode("utf-8") for x in plain)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.lib.encode_batch_fast([self.between.join(texts[x] for x in plain)], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(ids == self.stop)
-            data, u = ids.tobytes(), self.unit
-            starts, ends = [0, *((cut + 1) * u).tolist()], [*(cut * u).tolist(), len(data)]
-            known.update(zip(plain, (data[i:j] for i, j in zip(starts, ends, strict=True)), strict=True))
+            self._store(plain, ids, np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]]))
         for w, body, mark in ended:
             known[w] = known[body] + known[mark]
 
@@ -103,14 +119,26 @@ class Encoder:
             size, end = 0, at
             while end < len(texts) and (size < 1 << 20 or end == at):
                 size, end = size + len(texts[end] or ""), end + 1
-            part = [None if "<|" in (t or "") else (t or "").encode("utf-8").lower().split() for t in texts[at:end]]
             if len(self.known) > REMEMBER:
                 self.known.clear()
-            known = self.known
-            new = {w for words in part if words for w in words if w not in known}
-            if new:
-                self._learn(new)
-            out += [self._whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts[at:end], part)]
+            get = self.known.get
+            parts, missing = [], set()
+            for text in texts[at:end]:
+                if not text:
+                    parts.append((b"", ()))
+                elif "<|" in text:
+                    parts.append((self._whole(text), ()))
+                else:
+                    words = text.encode("utf-8").lower().split()
+                    ids = list(map(get, words))
+                    if None in ids:
+                        missing.update(w for w, x in zip(words, ids) if x is None)
+                        parts.append((ids, words))
+                    else:
+                        parts.append((b"".join(ids), ()))
+            if missing:
+                self._learn(missing)
+            out += [b"".join([get(w) if x is None else x for w, x in zip(words, ids)]) if words else ids for ids, words in parts]
             at = end
         return out
 
