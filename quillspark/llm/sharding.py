@@ -3,8 +3,8 @@
 Documents with equal texts are linked. Every document starts in a shard given by its id; the
 linked ones then move, round by round, towards the shard that most of their neighbours are in,
 as far as that shard's quota allows (quota: the rows that every shard gets). All documents of one
-text and one starting shard share a label, so the rounds work on these cells and not on
-documents, and a text with a third of all rows is 40 cells, not one. Admission under a quota is
+text and one starting cell (eight to a shard) share a label, so the rounds work on cells and not on
+documents, and a text with a third of all rows is 320 cells, not one. Admission under a quota is
 by running sums over hash buckets, never by a sort of all candidates. Documents without links
 fill the shards up to counts that are at most one apart; linked ones beyond a shard's count join them.
 
@@ -25,6 +25,8 @@ from .common import Scratch, text_key
 SHARDS, ROUNDS = 40, 10
 #: Hash buckets for admission; rows in a bucket that are ranked together.
 ADMIT, RANKED = 1024, 500
+#: Cells of a text for each shard that it starts in: what moves at once is this much finer than a shard's part of a hot text.
+FINE = 8
 
 
 def _spread(*cols: Column | str) -> Column:
@@ -40,9 +42,9 @@ def _ranked(rows: DataFrame, by: list[str], buckets: int, name: str) -> DataFram
     return rows.withColumn("__r", own).join(offsets, [*by, "__b"]).withColumn(name, F.col("__r") + F.col("__o")).drop("__b", "__r", "__o")
 
 
-def propagate(cells: DataFrame, quota: int, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def propagate(cells: DataFrame, shards: int, quota: int, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """``cells(key, s0, n)`` of linked documents -> ``(key, s0, n, cur)`` after the rounds."""
-    state = scratch.write(cells.withColumn("cur", F.col("s0")), "labels")
+    state = scratch.write(cells.withColumn("cur", F.pmod("s0", F.lit(shards))), "labels")
     for k in range(rounds):
         load = {r.cur: r.load for r in state.groupBy("cur").agg(F.sum("n").alias("load")).collect()}  # a row for each shard
         room = {s: quota - load.get(s, 0) for s in load}
@@ -79,14 +81,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         text_key(text).alias("key"),
     )
-    base = scratch.write(base.withColumn("s0", F.pmod(_spread("id"), F.lit(shards)).cast("int")), "rows")
+    base = scratch.write(base.withColumn("s0", F.pmod(_spread("id"), F.lit(shards * FINE)).cast("int")), "rows")
     total = base.count()
     if not total:
         return base.select("id", "size", "text_crc32", F.col("s0").alias("shard"), F.lit(0).cast("long").alias("slot"))
     quota, extra = divmod(total, shards)
     cells = base.groupBy("key", "s0").agg(F.count("*").alias("n"))
     linked = cells.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
-    labels = propagate(cells.join(linked, "key"), quota, scratch, rounds).select("key", "s0", "cur")
+    labels = propagate(cells.join(linked, "key"), shards, quota, scratch, rounds).select("key", "s0", "cur")
     placed = base.join(labels, ["key", "s0"], "left")
     room = F.lit(quota) + F.when(F.col("cur") < extra, 1).otherwise(0)
     per_shard = max(1, -(-total // (shards * RANKED)))
