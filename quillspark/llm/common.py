@@ -14,10 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset (a single
-    machine, as in tests) a temporary folder is chosen once for the session."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset a temporary folder is chosen
+    once for the session if the master is local (a single machine, as in tests); elsewhere no folder of this
+    machine would be seen by the others, and an error says so."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
