@@ -19,7 +19,8 @@ positions that equal strings agree on:
 Groups are only ever aggregated and joined, so a passage in a third of all documents is no
 single task's work. Defined results: a null text is empty; texts shorter than the length lose nothing; repeated
 rows repeat each other's strings and lose all of them; an empty table gives an empty result;
-other columns are not read. Equality is by 64-bit hashes of content, salted by offsets.
+other columns are not read. Equality is by 128 bits: two hashes of the content of different bases and seeds, so that
+even among 10^12 runs a false partner is not to be expected; documents are keyed by 128 bits as well.
 """
 
 from __future__ import annotations
@@ -39,20 +40,21 @@ LENGTH, GRAM = 400, 64
 SEGMENT = 1 << 18
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_TABLES: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of the bytes, powers of an odd base and of its inverse modulo 2^64; made once a task."""
-    if n not in _TABLES:
-        _TABLES[n] = _make_tables(n)
-    return _TABLES[n]
+def _tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the bytes, powers of an odd base and of its inverse modulo 2^64; made once a worker."""
+    if (n, which) not in _TABLES:
+        _TABLES[n, which] = _make_tables(n, which)
+    return _TABLES[n, which]
 
 
-def _make_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
+def _make_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base = BASES[which]
     inverse = pow(base, -1, 1 << 64)
-    value = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    value = np.random.default_rng(20240229 + which).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def power(b: int) -> np.ndarray:
         factors = np.full(n, b, np.uint64)
@@ -69,13 +71,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchor_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, gram hash, hash of the run's whole extent) of all runs of a text."""
+    """(first window, last window, anchor, gram hash, two hashes of the run's whole extent) of all runs of a text."""
     n, span = len(data), length - gram + 1
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     value, power, inverse = _tables(SEGMENT + length + 1)
+    value2, power2, inverse2 = _tables(SEGMENT + length + 1, 1)
     for seg in range(0, max(0, n - length + 1), SEGMENT):
-        x = value[np.frombuffer(data, np.uint8, min(n - seg, SEGMENT + length - 1), seg)]
+        raw = np.frombuffer(data, np.uint8, min(n - seg, SEGMENT + length - 1), seg)
+        x = value[raw]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * inverse[: len(x)], dtype=np.uint64)])
+        sums2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value2[raw] * inverse2[: len(x)], dtype=np.uint64)])
         grams, windows = len(x) - gram + 1, len(x) - length + 1
         at = np.arange(grams, dtype=np.uint64)
         g = _mix((sums[gram:] - sums[:grams]) * power[:grams])
@@ -88,76 +93,89 @@ def anchor_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         last = np.concatenate([first[1:], [windows]]) - 1
         a = anchor[first]
         extent = _mix((sums[last + length] - sums[first]) * power[first])
-        for k, v in enumerate((first + seg, last + seg, a + seg, g[a], extent)):
+        extent2 = _mix((sums2[last + length] - sums2[first]) * power2[first])
+        for k, v in enumerate((first + seg, last + seg, a + seg, g[a], extent, extent2)):
             out[k].append(v)
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)
     return tuple(np.concatenate(v) if v else np.empty(0, k) for v, k in zip(out, kinds))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumns({"key": F.xxhash64("id", "text"), "key2": F.xxhash64(F.lit(2), "id", "text")})
 
 
 def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, parts = batch.column(0).to_numpy(), []
-            for text in batch.column(1):
-                parts.append(anchor_runs(text.as_buffer().to_pybytes(), length, gram))
-            first, last, a, g, extent = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            key = np.repeat(keys, [len(p[0]) for p in parts])
-            cols = [key, first, (a - last).astype(np.int32), (a - first).astype(np.int32), g.view(np.int64), extent.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "first", "lo", "hi", "gram", "extent"])
+            parts = [anchor_runs(text.as_buffer().to_pybytes(), length, gram) for text in batch.column(2)]
+            first, last, a, g, extent, extent2 = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            key, key2 = (np.repeat(batch.column(k).to_numpy(), [len(p[0]) for p in parts]) for k in range(2))
+            cols = [key, key2, first, (a - last).astype(np.int32), (a - first).astype(np.int32), *(v.view(np.int64) for v in (g, extent, extent2))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "key2", "first", "lo", "hi", "gram", "extent", "extent2"])
 
-    return keyed.select("key", "text").mapInArrow(run, "key long, first long, lo int, hi int, gram long, extent long")
+    return keyed.select("key", "key2", "text").mapInArrow(run, "key long, key2 long, first long, lo int, hi int, gram long, extent long, extent2 long")
+
+
+#: A content's 128-bit name, and a document's.
+CID, KEY = ["cid", "cid2"], ["key", "key2"]
+
+
+def _name(*parts) -> tuple:
+    """Two hashes of the same columns under different seeds."""
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(key, start, end)`` byte ranges that repeated strings cover, for the documents' keys."""
+    """``(key, key2, start, end)`` byte ranges that repeated strings cover, for the documents' keys."""
     keyed = _keyed(docs, id_col, text_col)
-    # cid names a run's content and its place in the windows; equal cids are equal runs
-    runs = scratch.write(_runs(keyed, length, gram).withColumn("cid", F.xxhash64("gram", "extent", "lo", "hi")).drop("extent"), "runs")
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("cid").alias("c0"), F.max("cid").alias("c1"))
-    open_grams = grams.where("n > 1 and c0 != c1").select("gram")
-    by_cid = runs.groupBy("cid").agg(F.count("*").alias("m"), F.min("gram").alias("gram"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min(F.struct("key", "first")).alias("at"))
-    by_cid = scratch.write(by_cid.join(open_grams, "gram", "left_semi").union(by_cid.where("m > 1").join(open_grams, "gram", "left_anti")), "contents")
-    whole = runs.join(by_cid.where("m > 1").select("cid"), "cid", "left_semi")
-    whole = scratch.write(whole.select("key", F.col("first").alias("start"), (F.col("first") + F.col("hi") - F.col("lo") + length).alias("end")), "whole")
+    # cid and cid2 name a run's content and its place in the windows; equal names are equal runs
+    made = _runs(keyed, length, gram).withColumns({"cid": F.xxhash64("gram", "extent", "lo", "hi"), "cid2": F.xxhash64("extent2", "gram", "lo", "hi")})
+    runs = scratch.write(made.drop("extent", "extent2"), "runs")
+    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(n) for f, c, n in ((F.min, "cid", "c0"), (F.max, "cid", "c1"), (F.min, "cid2", "d0"), (F.max, "cid2", "d1"))])
+    open_grams = grams.where("n > 1 and (c0 != c1 or d0 != d1)").select("gram")
+    by_cid = runs.groupBy(*CID).agg(F.count("*").alias("m"), F.min("gram").alias("gram"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min(F.struct(*KEY, "first")).alias("at"))
+    by_cid = scratch.write(by_cid.join(open_grams, "gram", "left_semi").unionByName(by_cid.where("m > 1").join(open_grams, "gram", "left_anti")), "contents")
+    whole = runs.join(by_cid.where("m > 1").select(*CID), CID, "left_semi")
+    whole = scratch.write(whole.select(*KEY, F.col("first").alias("start"), (F.col("first") + F.col("hi") - F.col("lo") + length).alias("end")), "whole")
 
     # the bytes of every content that goes on, from one of its documents
-    wanted = by_cid.join(open_grams, "gram", "left_semi").select("cid", "gram", "lo", "hi", "m", F.col("at.key").alias("key"), F.col("at.first").alias("first"))
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("cid", "gram", "lo", "hi", "m", "first")).alias("x"))
-    text = keyed.join(listed, "key").dropDuplicates(["key"]).select(F.encode("text", "UTF-8").alias("bytes"), F.explode("x").alias("x"))
+    wanted = by_cid.join(open_grams, "gram", "left_semi").select(*CID, "gram", "lo", "hi", "m", *[F.col(f"at.{k}").alias(k) for k in KEY], F.col("at.first").alias("first"))
+    listed = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*CID, "gram", "lo", "hi", "m", "first")).alias("x"))
+    text = keyed.join(listed, KEY).dropDuplicates(KEY).select(F.encode("text", "UTF-8").alias("bytes"), F.explode("x").alias("x"))
     cut = F.substr("bytes", (F.col("x.first") + 1).cast("int"), F.col("x.hi") - F.col("x.lo") + length)
-    contents = scratch.write(text.select("x.cid", "x.gram", "x.lo", "x.hi", (F.col("x.m") == 1).alias("asks"), cut.alias("bytes")), "bytes")
+    contents = scratch.write(text.select(*[f"x.{c}" for c in CID], "x.gram", "x.lo", "x.hi", (F.col("x.m") == 1).alias("asks"), cut.alias("bytes")), "bytes")
 
     most = length - gram  # the largest offset of an anchor in a window
     level = max(most, 1).bit_length() - 1
-    blocks = contents.select("cid", F.explode(F.array(*[F.lit(j) for j in range((most >> level) + 1)])).alias("j"))
-    found, held = None, None
+    blocks = contents.select(*CID, F.explode(F.array(*[F.lit(j) for j in range((most >> level) + 1)])).alias("j"))
+    found, held, names_of, same_as = None, None, ["name", "name2"], ["name", "name2", "extent", "extent2"]
     while level >= 0:
         lo_o, hi_o = F.col("j") * (1 << level), F.least(F.col("j") * (1 << level) + ((1 << level) - 1), F.lit(most))
-        b = blocks.join(contents, "cid").withColumn("o1", lo_o).withColumn("o2", hi_o).where("o1 <= hi and o2 >= lo")
+        b = blocks.join(contents, CID).withColumn("o1", lo_o).withColumn("o2", hi_o).where("o1 <= hi and o2 >= lo")
         shared = F.substr("bytes", F.col("hi") - F.col("o1") + 1, F.col("o1") - F.col("o2") + length)
         inside = (F.col("lo") <= F.col("o1")) & (F.col("o2") <= F.col("hi"))
         extent = F.substr("bytes", F.col("hi") - F.col("o2") + 1, F.col("o2") - F.col("o1") + length)
-        named = b.select("cid", "j", "asks", "o1", "o2", F.xxhash64("gram", F.lit(level), "j", shared).alias("name"), F.when(inside, F.xxhash64(extent, F.lit(level))).otherwise(F.xxhash64("cid", F.lit(-1))).alias("extent"), inside.alias("inside"))
+        name, own = _name("gram", F.lit(level), "j", shared), _name(*CID, F.lit(-1))
+        extent = [F.when(inside, e).otherwise(o) for e, o in zip(_name(extent, F.lit(level)), own)]
+        named = b.select(*CID, "asks", "j", "o1", "o2", *[c.alias(n) for c, n in zip((*name, *extent), same_as)], inside.alias("inside"))
         named = scratch.write(named, "names")
-        same = named.groupBy("name", "extent").agg(F.count("*").alias("k"), F.min("cid").alias("stays"))
-        names = same.groupBy("name").agg(F.sum("k").alias("n"), F.count("*").alias("extents"))
-        ranked = named.join(same, ["name", "extent"]).join(names.where("n > 1"), "name")
+        same = named.groupBy(*same_as).agg(F.count("*").alias("k"), F.min("cid").alias("stays"))
+        names = same.groupBy(*names_of).agg(F.sum("k").alias("n"), F.count("*").alias("extents"))
+        ranked = named.join(same, same_as).join(names.where("n > 1"), names_of)
         ranked = scratch.write(ranked.withColumn("done", F.col("inside") & (F.col("k") > 1)), "ranks")
-        hit = ranked.where("done and asks").select("cid", "o1", "o2")
+        hit = ranked.where("done and asks").select(*CID, "o1", "o2")
         new = scratch.write(hit if found is None else found.union(hit), "found")
         # a block with partners of other extents halves; of equal extents one stays as a partner
         onward = ranked.where("extents > 1 and (not done or cid = stays)")
-        blocks = onward.select("cid", F.explode(F.array(F.col("j") * 2, F.col("j") * 2 + 1)).alias("j"))
+        blocks = onward.select(*CID, F.explode(F.array(F.col("j") * 2, F.col("j") * 2 + 1)).alias("j"))
         scratch.drop(found, named, held)
         found, held = new, ranked
         level -= 1
-    placed = wanted.where("m = 1").select("cid", "key", (F.col("first") + F.col("hi")).alias("anchor"))
-    part = found.join(placed, "cid").select("key", (F.col("anchor") - F.col("o2")).alias("start"), (F.col("anchor") - F.col("o1") + length).alias("end"))
+        if level >= 0 and onward.isEmpty():  # no block is left to halve
+            break
+    placed = wanted.where("m = 1").select(*CID, *KEY, (F.col("first") + F.col("hi")).alias("anchor"))
+    part = found.join(placed, CID).select(*KEY, (F.col("anchor") - F.col("o2")).alias("start"), (F.col("anchor") - F.col("o1") + length).alias("end"))
     return scratch.write(whole.union(part), "ranges")
 
 
@@ -174,8 +192,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``(id, n_bytes, n_removed, spans, kept)`` of every row: removed byte ranges as structs (start, end), remaining bytes."""
     scratch = Scratch(docs.sparkSession, "suffix")
     ranges = repeated_ranges(docs, scratch, id_col=id_col, text_col=text_col, length=length)
-    gathered = ranges.distinct().groupBy("key").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
-    joined = _keyed(docs, id_col, text_col).join(gathered, "key", "left").select("id", "text", "s", "e")
+    gathered = ranges.distinct().groupBy(*KEY).agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
+    joined = _keyed(docs, id_col, text_col).join(gathered, KEY, "left").select("id", "text", "s", "e")
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +221,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=LENGTH)
-    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.lower(F.sha2("kept", 256)).alias("kept_sha256"))
+    digest = F.lower(F.sha2("kept", 256)).alias("kept_sha256")
+    # a removed range may begin inside a character; the text shows what is left of such a character as U+FFFD
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), digest, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
