@@ -1,8 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows. DataFrame functions only.
 
-Plan: one pass hashes the word shingles of every whole text in the row. A shingle that some
-item has proposes the window that would align with it, as many words long as the item; runs of
-hits propose it once, and nothing else leaves the scan. Proposed windows are fingerprinted; an
+Plan: one pass hashes the word shingles of every whole text in the row and looks each up among the
+items' shingles; a maximal run of hits that follow each other in text and item proposes three
+windows as many words long as the item: the one that aligns with the item, the one that begins with the run
+and the one that ends with it. While a window slides, shared shingles enter on its right and leave on its left one at a
+time, so their number has a maximum where a run begins at its left or ends at its right edge: the best
+window of a document is among those proposed, whatever was inserted or left out. Only places leave the
+scan; the texts with hits are read once more for the shingles of their windows. Windows are fingerprinted; an
 index of the items' fingerprints in 8 blocks of 8 bits, each with all values up to RADIUS // 8
 flips, yields every item of that size within RADIUS bits (if two words differ in at most RADIUS
 bits, one of 8 blocks differs in at most RADIUS // 8). Candidates are decided by the exact
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, Scratch
 
@@ -82,18 +87,26 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
     for k in sizes:
         own = items.where(F.col("k") == k).select("item", "n", shingle_array(F.col("w"), k).alias("ih"))
         own = scratch.write(own.withColumn("m", F.size("ih")).withColumn("ifp", simhash_of(F.col("ih"))), "items")
-        posted = own.select("n", "m", F.posexplode("ih").alias("j", "hash"), "ih").select("n", "m", "j", "hash", F.get("ih", F.col("j") - 1).alias("before")).distinct()
-        texts = docs.select(F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("w")).select("id", shingle_array(F.col("w"), k).alias("h"))
-        # outer: else a filter on h is pushed below it, where the words would be split again for every shingle
-        hits = texts.select("id", "h", F.posexplode_outer("h").alias("pos", "hash")).join(_broadcast(posted), "hash")
-        # the hit before, of the same alignment, has proposed this window already
-        hits = hits.where((F.col("j") == 0) | (F.col("pos") == 0) | (F.get("h", F.col("pos") - 1) != F.col("before")))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.size("h") - F.col("m")))
-        windows = hits.select("id", "n", "m", start.alias("start"), F.slice("h", start + 1, F.col("m")).alias("wh"))
-        windows = scratch.write(windows, "windows")
-        # rows that repeat an id may differ in text: the window's own hashes are part of the key
-        marked = windows.distinct().withColumn("fp", simhash_of(F.col("wh")))
-        marked = scratch.write(marked, "fingerprints")
+        posted = own.select("n", "m", F.posexplode("ih").alias("j", "hash"), "ih").select("n", "m", "j", "hash", F.get("ih", F.col("j") - 1).alias("before"), F.get("ih", F.col("j") + 1).alias("after")).distinct()
+        # rows that repeat an id may differ in text: a hash of the text is part of the key
+        keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("t"))
+        shingled = lambda rows, *cols: rows.select("id", "tk", *cols, word_array(F.col("t")).alias("w")).select("id", "tk", *cols, shingle_array(F.col("w"), k).alias("h"))  # noqa: B023, E731
+        place = F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("hash"), F.get("h", i - 1).alias("prev"), F.get("h", i + 1).alias("next")))
+        placed = shingled(keyed).select("id", "tk", F.size("h").alias("size"), place.alias("places"))
+        # outer: else a filter on the array is pushed below it, where the words would be split again for every shingle
+        hits = placed.select("id", "tk", "size", F.explode_outer("places").alias("x")).select("id", "tk", "size", "x.*").join(_broadcast(posted), "hash")
+        first = (F.col("j") == 0) | (F.col("pos") == 0) | (F.col("prev") != F.col("before"))
+        last = (F.col("j") == F.col("m") - 1) | F.col("next").isNull() | (F.col("next") != F.col("after"))
+        starts = F.array_compact(F.array(F.when(first, F.col("pos") - F.col("j")), F.when(first, F.col("pos")), F.when(last, F.col("pos") - F.col("m") + 1)))
+        spots = hits.where(first | last).select("id", "tk", "n", "m", "size", F.explode(starts).alias("s"))
+        spots = scratch.write(spots.select("id", "tk", "n", "m", F.greatest(F.lit(0), F.least("s", F.col("size") - F.col("m"))).alias("start")).distinct(), "windows")
+        # a document's own windows in one row: as many as its runs of hits
+        asked = spots.groupBy("id", "tk").agg(F.collect_list(F.struct("n", "m", "start")).alias("ws")).withColumnRenamed("id", "wid").withColumnRenamed("tk", "wtk")
+        asked = F.broadcast(asked) if spots.count() <= BROADCAST_ROWS else asked
+        again = keyed.join(asked, F.col("id").eqNullSafe(F.col("wid")) & (F.col("tk") == F.col("wtk")))
+        cut = F.transform("ws", lambda x: F.struct(x.n.alias("n"), x.start.alias("start"), F.slice("h", x.start + 1, x.m).alias("wh")))
+        marked = shingled(again, "ws").select("id", F.explode(cut).alias("x")).select("id", "x.*").distinct()
+        marked = scratch.write(marked.withColumn("fp", simhash_of(F.col("wh"))), "fingerprints")
         flips = [0]
         for b in range(8):
             flips += [1 << b] + ([(1 << b) | (1 << c) for c in range(b)] if RADIUS // BLOCKS >= 2 else [])
@@ -110,7 +123,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
         ok = whole.select("id", "item", "start", F.col("n").alias("n_words"), sim.alias("similarity")).where(F.col("similarity") >= similarity)
         found = ok if found is None else found.unionByName(ok)
     if found is None:
-        found = docs.select(F.col(id_col).alias("id")).crossJoin(items.select("item")).select("id", "item", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).where(F.lit(False))
+        kinds = T.StructType([docs.schema[id_col], bench.schema[item_col]])
+        names = ["id", "item", "start", "n_words", "similarity"]
+        found = spark.createDataFrame([], T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kinds)] + [T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words"))
     return found.groupBy("id", "item").agg(best.alias("x")).select("id", "item", (-F.col("x.s")).alias("start"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
 

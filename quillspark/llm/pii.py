@@ -1,12 +1,15 @@
 """Format-preserving pseudonyms for personal data. DataFrame functions only.
 
 Plan: one projection, no shuffle. One pattern finds candidates in the whole text; each is validated
-(Luhn sum, octets, calendar, mod 97, number blocks) and replaced by a keyed permutation of
+(Luhn sum, octets, groups, calendar, mod 97, number blocks, numbering plan) and replaced by a keyed permutation of
 itself within its format, so equal values have equal pseudonyms in all documents, and different
 values different ones. The permutation is a Feistel network of ten rounds with SHA-512 under the
 key: on digit strings (cards keep their Luhn sum, phones and social security numbers their punctuation),
-on the two halves of an IPv4 address, on the days 1900-01-01 to 2099-12-31 (walking the cycle past
-numbers that are no day), and on letters and digits of e-mail addresses and secrets.
+on the two halves of an IPv4 address, on the hexadecimal digits of an IPv6 address, on the days 1900-01-01 to
+2099-12-31 (walking the cycle past numbers that are no day), and on letters and digits of e-mail addresses (the
+local part, and the domain but for its last label) and secrets. A bare hexadecimal string is a secret only after a
+word that says so: checksums and commit hashes stay. Phones must have the form of the numbering plan: area and
+exchange of a ten-digit number begin with 2 to 9, international numbers have 8 to 15 digits.
 
 Defined results: a null text stays null with counts 0; an empty text stays empty; candidates that
 do not validate stay as they are; repeated rows get equal results; an empty table gives an empty
@@ -28,15 +31,20 @@ DAY_HALVES = (271, 270)
 #: Every alternative is bounded and starts only where its run starts, so a scan is linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128})(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_-])|(?<=(?i:token|secret|key|passw(?:or)?d|pwd|auth|bearer|credential|signature)[\s\"':=]{1,6})[0-9a-f]{32,128}(?![A-Za-z0-9_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+(])\+[0-9]{8,15}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
 KINDS = list(PATTERNS)
+#: What a match alone looks like, where its pattern also looks at what stands before.
+ALONE = PATTERNS | {"secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}"}
+#: Setting that holds the key of the registered query.
+KEY_SETTING = "spark.quillspark.pseudonymKey"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -133,7 +141,9 @@ def _mod97(s: Column) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     at = F.instr(m, F.lit("@"))
-    return F.concat(feistel_text(F.substr(m, F.lit(1), at - 1), key, "email"), F.substr(m, at, F.length(m)))
+    last = F.length(m) - F.length(F.substring_index(m, ".", -1))  # the dot before the last label
+    local, domain = F.substr(m, F.lit(1), at - 1), F.substr(m, at + 1, last - at - 1)
+    return F.concat(feistel_text(local, key, "email"), F.lit("@"), feistel_text(domain, key, "domain"), F.substr(m, last, F.length(m)))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -185,6 +195,13 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(ok, F.aggregate(F.array(y), F.lit(""), lambda _, v: F.concat_ws(".", text(v.l), text(v.r))))
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """The same address in the same notation has the same pseudonym. Short forms need three groups and a digit."""
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    ok = ~m.contains("::") | ((groups >= 3) & (groups <= 7) & m.rlike("[0-9]"))
+    return F.when(ok, feistel_text(F.lower(m), key, "ipv6", hexadecimal=True))
+
+
 def _valid_ssn(d: Column) -> Column:
     area = F.substr(d, F.lit(1), F.lit(3))
     return (area != "000") & (area != "666") & (area < "900") & (F.substr(d, F.lit(4), F.lit(2)) != "00") & (F.substr(d, F.lit(6), F.lit(4)) != "0000")
@@ -206,8 +223,20 @@ def _ssn(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     d = digits_of(m)
     keep = F.greatest(F.length(d) - 10, F.lit(0))  # the country code stays
-    keep = F.when(m.rlike(r"^\+[0-9]+$"), F.least(F.lit(2), F.length(d) - 4)).otherwise(keep)
-    return refill(m, feistel_text(F.substr(d, keep + 1, F.length(d)), key, "phone"), keep)
+    plain = m.rlike(r"^\+[0-9]+$")
+    keep = F.when(plain, F.least(F.lit(2), F.length(d) - 4)).otherwise(keep)
+    abroad = F.startswith(m, F.lit("+")) & ~F.startswith(d, F.lit("1"))
+    ten = F.substr(d, F.length(d) - 9, F.lit(10))
+    planned = F.when(abroad, F.length(d).between(8, 15) & ~F.startswith(d, F.lit("0"))).otherwise((F.length(d) <= 11) & ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    # walks the permutation until the number has the plan's form again, as eight of ten pairs of digits have
+    start = F.struct(F.substr(d, keep + 1, F.length(d)).alias("v"), F.lit(False).alias("ok"))
+
+    def walk(x: Column, _: Column) -> Column:
+        y = F.when(x.ok, x.v).otherwise(feistel_text(x.v, key, "phone"))
+        return F.struct(y.alias("v"), (x.ok | plain | abroad | y.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")).alias("ok"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, walk, lambda x: x.v)
+    return F.when(planned, refill(m, walked, keep))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -218,7 +247,7 @@ def _card(m: Column, key: str) -> Column:
     return F.when(ok, F.aggregate(F.array(F.concat(body, check)), m, lambda form, digits: refill(form, digits)))
 
 
-MAKERS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+MAKERS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ipv6": _ipv6, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -227,7 +256,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     def replaced(m: Column) -> Column:
         out = None
         for kind in KINDS:
-            fits, made = m.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.lit(kind).alias("kind"), MAKERS[kind](m, key).alias("out"))
+            fits, made = m.rlike(f"^(?:{ALONE[kind]})$"), F.struct(F.lit(kind).alias("kind"), MAKERS[kind](m, key).alias("out"))
             out = F.when(fits, made) if out is None else out.when(fits, made)
         return out
 
@@ -250,4 +279,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pseudonymise(docs.select("doc_id", "text"), key="a key that its owner sets")
+    return pseudonymise(docs.select("doc_id", "text"), key=spark.conf.get(KEY_SETTING, "a key that its owner sets"))
