@@ -2,9 +2,10 @@
 
 Plan: (1) one pass over the texts makes fingerprints; (2) equal fingerprints (or equal texts)
 collapse to one representative; (3) representatives are dealt into cells by population counts,
-cells are cut into tiles of a bounded size, and only tile pairs whose population counts can lie
-within the radius are joined; (4) each tile pair is compared exactly with numpy exclusive-or and
-bit counts and yields a spanning forest of its links, never all pairs; (5) the forests are joined
+cells are cut into tiles of a bounded size, and only tiles whose population counts can lie
+within the radius meet: a tile travels once to each band of SPAN tiles of its partners, not once to
+each of them; (4) band and tile are compared exactly with numpy exclusive-or and
+bit counts and yield a spanning forest of their links, never all pairs; (5) the forests are joined
 to components by star contraction.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; repeated
@@ -31,6 +32,8 @@ BLOCK = 1 << 15
 #: Most fingerprints in a tile, on average; a tile pair holds at most its square in memory, a slice at a time.
 TILE = 2048
 SLICE = 256
+#: Tiles in a band: tiles are shuffled that many times less often than they are compared.
+SPAN = 8
 #: Hashes in a tile that carries whole sets, about.
 SET_TILE = 1 << 20
 #: Columns of the further words of wide fingerprints.
@@ -135,8 +138,9 @@ def _links(a: dict, b: dict | None, first: int, radius: int, ratio: float) -> tu
     """Positions in a, positions in b and distances of all links between two tiles, or within one (b None)."""
     ii, jj, dd = [], [], []
     other = b or a
-    for at in range(0, len(a["fp"]), SLICE):
-        d = np.bitwise_count(a["fp"][at : at + SLICE, None] ^ other["fp"][None, :])
+    rows = max(8, SLICE * TILE // max(1, len(other["fp"])))
+    for at in range(0, len(a["fp"]), rows):
+        d = np.bitwise_count(a["fp"][at : at + rows, None] ^ other["fp"][None, :])
         i, j = np.nonzero(d <= first)
         d = d[i, j].astype(np.int16)
         i = i + at
@@ -218,18 +222,17 @@ def tiled_links(spark: SparkSession, reps: DataFrame, scratch: Scratch, radius:
     held = F.ceil(F.count("*") / TILE)
     blocks = reps.groupBy("cell").agg((F.greatest(held, F.ceil(F.sum("size") / SET_TILE)) if with_sets else held).alias("blocks"))
     dealt = reps.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
-    tiles = scratch.write(dealt.groupBy("cell", "block").agg(*[F.collect_list(c).alias(c) for c in fields]).withColumn("tile", F.struct("cell", "block")), "tiles")
-    ids = tiles.select("cell", "block")
-    left = ids.select(F.col("cell").alias("ca"), F.col("block").alias("ka"), F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
-    right = ids.select(F.col("cell").alias("cb"), F.col("block").alias("kb"))
-    pairs = left.join(right, F.col("ca") + F.col("step") == F.col("cb")).where("ca != cb or ka <= kb")
-    a = tiles.select(F.col("tile").alias("ta"), F.struct(*fields).alias("x"))
-    b = tiles.select(F.col("tile").alias("tb"), F.struct(*fields).alias("y"))
-    joined = (
-        pairs.select(F.struct(F.col("ca").alias("cell"), F.col("ka").alias("block")).alias("ta"), F.struct(F.col("cb").alias("cell"), F.col("kb").alias("block")).alias("tb"))
-        .join(a, "ta").join(b, "tb")
-        .select((F.col("ta") == F.col("tb")).alias("own"), "x", "y")
-    )
+    tiles = scratch.write(dealt.groupBy("cell", "block").agg(*[F.collect_list(c).alias(c) for c in fields]), "tiles")
+    span = 1 if with_sets else SPAN
+    bands = tiles.groupBy("cell", F.floor(F.col("block") / span).alias("band")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in fields])
+    bands = scratch.write(bands.select("cell", "band", F.struct(*fields).alias("x")), "bands")
+    left = bands.select(F.col("cell").alias("ca"), F.col("band").alias("ga"), F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
+    right = tiles.select(F.col("cell").alias("cb"), F.col("block").alias("kb"))
+    pairs = left.join(right, F.col("ca") + F.col("step") == F.col("cb")).where(f"ca != cb or ga < floor(kb / {span})").select("ca", "ga", "cb", "kb")
+    met = pairs.join(tiles.select(F.col("cell").alias("cb"), F.col("block").alias("kb"), F.struct(*fields).alias("y")), ["cb", "kb"])
+    joined = met.join(bands.withColumnsRenamed({"cell": "ca", "band": "ga"}), ["ca", "ga"]).select(F.lit(False).alias("own"), "x", "y")
+    nothing = F.struct(*[F.array().cast(tiles.schema[f].dataType).alias(f) for f in fields])
+    joined = joined.union(bands.select(F.lit(True), "x", nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
