@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, text_key
 
-SHARDS, ROUNDS = 40, 10
+SHARDS = 40
 #: Hash buckets for admission; rows in a bucket that are ranked together.
 ADMIT, RANKED = 1024, 500
+#: Buckets whose totals are summed in one group.
+BLOCK = 4096
 #: Cells of a text for each shard that it starts in: what moves at once is this much finer than a shard's part of a hot text.
 FINE = 8
 
@@ -34,18 +36,24 @@ def _spread(*cols: Column | str) -> Column:
 
 
 def _ranked(rows: DataFrame, by: list[str], buckets: int, name: str) -> DataFrame:
-    """rows with a gapless rank from 1 within the columns by, ranked in hash buckets and offset by their totals."""
-    rows = rows.withColumn("__b", F.pmod(_spread("id", "key"), F.lit(buckets)))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n")).withColumn("__o", before).drop("__n")
-    own = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("id", "key"))
+    """rows with a gapless rank from 1 within the columns by, ranked in hash buckets and offset by their totals;
+    the totals are summed in blocks of buckets, and those by their own totals, so no task sees all buckets."""
+    rows = rows.withColumn("__b", F.pmod(_spread("h", "key"), F.lit(buckets)))
+    upto = lambda order, *part: F.coalesce(F.sum("__n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n")).withColumn("__c", F.floor(F.col("__b") / BLOCK))
+    blocks = totals.groupBy(*by, "__c").agg(F.sum("__n").alias("__n")).withColumn("__p", upto("__c", *by)).drop("__n")
+    offsets = totals.withColumn("__o", upto("__b", *by, "__c")).join(blocks, [*by, "__c"]).withColumn("__o", F.col("__o") + F.col("__p")).drop("__n", "__c", "__p")
+    own = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("h", "key"))
     return rows.withColumn("__r", own).join(offsets, [*by, "__b"]).withColumn(name, F.col("__r") + F.col("__o")).drop("__b", "__r", "__o")
 
 
-def propagate(cells: DataFrame, shards: int, quota: int, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """``cells(key, s0, n)`` of linked documents -> ``(key, s0, n, cur)`` after the rounds."""
+def propagate(cells: DataFrame, shards: int, quota: int, scratch: Scratch) -> DataFrame:
+    """``cells(key, s0, n)`` of linked documents -> ``(key, s0, n, cur)`` when no cell moves any more.
+
+    A cell moves only to a shard that holds as much of its text or more, so the sum of the squares of what
+    texts have in shards grows with every move, and the rounds end."""
     state = scratch.write(cells.withColumn("cur", F.pmod("s0", F.lit(shards))), "labels")
-    for k in range(rounds):
+    for k in itertools.count():
         load = {r.cur: r.load for r in state.groupBy("cur").agg(F.sum("n").alias("load")).collect()}  # a row for each shard
         room = {s: quota - load.get(s, 0) for s in load}
         if not load:
@@ -70,7 +78,7 @@ def propagate(cells: DataFrame, shards: int, quota: int, scratch: Scratch, round
     return state.select("key", "s0", "n", "cur")
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS) -> DataFrame:
     """``(id, size, text_crc32, shard, slot)`` of every row: counts of shards at most one apart, slots gapless from 0."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -81,14 +89,16 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         text_key(text).alias("key"),
     )
-    base = scratch.write(base.withColumn("s0", F.pmod(_spread("id"), F.lit(shards * FINE)).cast("int")), "rows")
+    # rows without an id are told apart by their place in this written table
+    base = base.withColumn("h", F.when(F.col("id").isNull(), _spread(F.monotonically_increasing_id())).otherwise(_spread("id")))
+    base = scratch.write(base.withColumn("s0", F.pmod("h", F.lit(shards * FINE)).cast("int")), "rows")
     total = base.count()
     if not total:
         return base.select("id", "size", "text_crc32", F.col("s0").alias("shard"), F.lit(0).cast("long").alias("slot"))
     quota, extra = divmod(total, shards)
     cells = base.groupBy("key", "s0").agg(F.count("*").alias("n"))
     linked = cells.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
-    labels = propagate(cells.join(linked, "key"), shards, quota, scratch, rounds).select("key", "s0", "cur")
+    labels = propagate(cells.join(linked, "key"), shards, quota, scratch).select("key", "s0", "cur")
     placed = base.join(labels, ["key", "s0"], "left")
     room = F.lit(quota) + F.when(F.col("cur") < extra, 1).otherwise(0)
     per_shard = max(1, -(-total // (shards * RANKED)))
@@ -97,7 +107,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     kept = {r.cur: r.n for r in held.where("stays").groupBy("cur").agg(F.count("*").alias("n")).collect()}
     free = [quota + (s < extra) - kept.get(s, 0) for s in range(shards)]
     ends = list(itertools.accumulate(free))
-    columns = ["id", "size", "text_crc32", "key"]
+    columns = ["id", "size", "text_crc32", "key", "h"]
     pool = placed.where("cur is null").select(*columns).unionByName(held.where("not stays").select(*columns))
     pool = _ranked(pool.withColumn("all", F.lit(0)), ["all"], per_shard * shards, "rank")
     bounds = F.array(*[F.lit(e).cast("long") for e in ends])
