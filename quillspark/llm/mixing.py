@@ -53,8 +53,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs
     return s.withColumn("level", level).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), "cap").alias("target"))
 
 
-def order_key(id_col: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def order_key(id_col: Column, text: Column, seed: int) -> Column:
+    """Rows without an id are told apart by their text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.concat(F.lit("text "), F.coalesce(F.md5(text), F.lit(""))))))
 
 
 def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order_key(F.col(id_col), seed).alias("order"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order_key(F.col(id_col), F.col(text_col), seed).alias("order"))
     rows = scratch.write(rows.withColumn("bucket", (F.conv(F.substring("order", 1, 3), 16, 10)).cast("int")), "sizes")
     assert BUCKETS == 16**3 and not isinstance(id_type, T.NullType)
     cells = scratch.write(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "cells")
@@ -92,12 +93,13 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
 def repeat_mixed(docs: DataFrame, **how) -> DataFrame:
     """The mixture as rows of docs: each document as often as its taken words fill it, a last part of
     half or more as a whole. A document of no words stays once if its source is taken at all."""
-    id_col = how.get("id_col", "doc_id")
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
     done = mix(docs, **how)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.when(F.col("target") > 0, 1).otherwise(0))
     # Rows that repeat an id: as many rows as there were, and the copies they got together.
-    by_id = done.select(F.col("id").alias("__id"), times.cast("int").alias("__times")).groupBy("__id").agg(F.sum("__times").alias("__sum"), F.count("*").alias("__rows"))
-    joined = docs.join(by_id, F.col(id_col).eqNullSafe(F.col("__id")))
+    by_id = done.select(F.col("id").alias("__id"), F.col("order").alias("__order"), times.cast("int").alias("__times")).groupBy("__id", "__order").agg(F.sum("__times").alias("__sum"), F.count("*").alias("__rows"))
+    own = order_key(F.col(id_col), F.col(text_col), how.get("seed", 42))
+    joined = docs.withColumn("__own", own).join(by_id, F.col("__own") == F.col("__order")).drop("__own", "__order")
     each = F.ceil(F.col("__sum") / F.col("__rows")).cast("int")
     return joined.withColumn("__copy", F.explode(F.when(each > 0, F.sequence(F.lit(1), each)).otherwise(F.array().cast("array<int>")))).drop("__id", "__sum", "__rows", "__copy")
 
@@ -111,7 +113,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, '')) AS ord
+         md5('42:' || coalesce(doc_id::VARCHAR, 'text ' || coalesce(md5(text), ''))) AS ord
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
