@@ -32,7 +32,13 @@ def build(docs: DataFrame, id_col: str, text: Column) -> Postings:
     split = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text).alias("t")).select("doc_id", "t", F.size("t").alias("dl"))
     rows = split.select("doc_id", "dl", F.explode_outer("t").alias("term")).where("term is not null")
     postings = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return of_postings(postings)
+
+
+def of_postings(postings: DataFrame) -> Postings:
+    """Term and corpus statistics of postings: the lengths of all documents are the sum of their term counts."""
+    stats = postings.agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("tf").alias("n_terms"))
+    stats = stats.select("n_docs", F.when(F.col("n_docs") > 0, F.col("n_terms") / F.col("n_docs")).alias("avg_dl"))
     return Postings(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 

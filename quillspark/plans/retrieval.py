@@ -10,6 +10,7 @@ from ..operators import fusion as U
 from ..operators import gates as G
 from ..operators import lexical as L
 from ..registry import query, table
+from ..sources.sinks import index_once
 from .corpus import A, Q, TOKENS
 
 
@@ -35,19 +36,23 @@ FULL = _bm25("text")
 QUEST = _bm25(Q, "q")
 
 
+def _index(spark, d, kind):
+    """The lexical index of the documents' whole texts, or of their questions: written once, read by every query."""
+    text = {"full": F.col("text"), "question": T.question_of(F.col("text"))}[kind]
+    return index_once(spark, f"{d}/documents.parquet", kind, lambda: L.build(table(spark, d, "documents"), "doc_id", text))
+
+
 def full_scores(spark, d):
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return L.scores(L.build(docs, "doc_id", F.col("text")), bench, "item_id", F.col("text"))
+    return L.scores(_index(spark, d, "full"), table(spark, d, "benchmark"), "item_id", F.col("text"))
 
 
 def question_scores(spark, d):
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return L.scores(L.build(docs, "doc_id", T.question_of(F.col("text"))), bench, "item_id", F.col("text"))
+    return L.scores(_index(spark, d, "question"), table(spark, d, "benchmark"), "item_id", F.col("text"))
 
 
 @query(f"WITH {FULL} SELECT n AS n_docs, round(adl, 6) AS avg_dl, (SELECT count(*) FROM df) AS vocabulary, (SELECT sum(tf)::BIGINT FROM tf) AS terms FROM st")
 def bm25_stats(spark, d):
-    i = L.build(table(spark, d, "documents"), "doc_id", F.col("text"))
+    i = _index(spark, d, "full")
     t = i.postings.groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count("*").alias("vocabulary"), F.sum("tf").alias("terms"))
     return i.stats.crossJoin(t).select("n_docs", F.round("avg_dl", 6).alias("avg_dl"), "vocabulary", "terms")
 

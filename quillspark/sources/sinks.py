@@ -34,10 +34,43 @@ def append_new(rows: DataFrame, path: str, key: str = "id") -> dict[str, int]:
 
 
 def save_index(index, path: str) -> None:
-    """Postings clustered by term, so a search prunes files by their ranges."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    """Postings by term, so that a search reads the groups of its terms; statistics are taken from what was written."""
+    from ..operators.lexical import of_postings
+
+    spark = index.postings.sparkSession
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    written = of_postings(spark.read.parquet(f"{path}/postings"))
+    written.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    written.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+#: Indexes written by this session: (application, table, its state, kind) -> folder.
+_BUILT: dict[tuple, str] = {}
+
+
+def index_root(spark: SparkSession) -> str:
+    """Shared folder for indexes: the checkpoint folder, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexical-{spark.sparkContext.applicationId}"
+
+
+def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes of a table and the last change of its folder or file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
+def index_once(spark: SparkSession, path: str, kind: str, make):
+    """The index that ``make()`` builds over the table at path, built and written once a session and then read;
+    built anew if the table has changed since, or if what was written is gone."""
+    at = (spark.sparkContext.applicationId, path, table_state(spark, path), kind)
+    found = load_index(spark, _BUILT[at]) if at in _BUILT else None
+    if found is None:
+        _BUILT[at] = f"{index_root(spark)}/{kind}-{len(_BUILT)}"
+        save_index(make(), _BUILT[at])
+        found = load_index(spark, _BUILT[at])
+    return found
 
 
 def load_index(spark: SparkSession, path: str):
