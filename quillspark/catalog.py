@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import content, corpus, quality, retrieval, service  # noqa: F401  (each registers its queries)
+from .plans import composite, content, corpus, enrich, quality, retrieval, service  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict[str, registry.Query]:

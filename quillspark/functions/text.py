@@ -162,3 +162,89 @@ def map_tokens(text: Column, mapping: dict[str, str]) -> Column:
     """Every white-space token that the map knows (lower-cased) replaced."""
     known = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.array_join(F.transform(words(text), lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), w)), " ")
+
+
+def bigrams(ws: Column) -> Column:
+    """Neighbouring pairs of words, in order, each once."""
+    n = F.size(ws)
+    made = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(ws, i), F.element_at(ws, i + 1)))
+    return F.when(n > 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def is_formal(text: Column, script: str = ARABIC, least: float = 0.6, latin: int = 3) -> Column:
+    """Mostly in the script, with fewer Latin letters than ``latin``."""
+    return (share_of(text, script) > least) & (F.regexp_count(text, F.lit("[A-Za-z]")) < latin)
+
+
+def strip_latin_words(text: Column, least: int = 2) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[A-Za-z]{{{least},}}", " "), r"\s+", " "))
+
+
+def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Plain replacements, in order."""
+    for a, b in pairs:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def is_boilerplate(line: Column, snippets: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(s) for s in snippets]), lambda s: F.contains(F.lower(line), s))
+
+
+def haystack(*parts: Column) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.nullif(F.trim(p), F.lit("")) for p in parts]))
+
+
+def canonical(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """The name of the first rule with a spelling that the lower-cased text holds; blank if there is none."""
+    out = F.lit("")
+    for name, spellings in reversed(rules):
+        hit = F.exists(F.array(*[F.lit(s) for s in spellings]), lambda s: F.contains(F.lower(text), s))
+        out = F.when(hit, F.lit(name)).otherwise(out)
+    return out
+
+
+def title_matches(title: Column, hint: Column) -> Column:
+    """The hint begins the title, or the title's part before a dash is the hint."""
+    t, h = F.upper(F.trim(title)), F.upper(F.trim(hint))
+    return (h != "") & (F.startswith(t, h) | (F.trim(F.split_part(t, F.lit("-"), F.lit(1))) == h))
+
+
+def keyword_score(terms: Column, question: Column, query: Column, hay: Column) -> Column:
+    """For every keyword 4 if the question holds it, else 3 if the query field, else 2 if the rest does; long ones there give 1 more."""
+    place = lambda k: F.when(F.contains(question, k), 4).when(F.contains(query, k), 3).when(F.contains(hay, k), 2).otherwise(0)
+    more = lambda k: F.when((F.length(k) >= 5) & F.contains(hay, k), 1).otherwise(0)
+    return F.aggregate(terms, F.lit(0), lambda s, k: s + place(k) + more(k))
+
+
+def overlap_percent(terms: Column, hay: Column) -> Column:
+    """Share of the terms that the text holds, in percent, half to even."""
+    n = F.size(terms)
+    return F.when(n > 0, F.bround(100.0 * F.size(F.filter(terms, lambda t: F.contains(hay, t))) / n).cast("int")).otherwise(0)
+
+
+def overlap_relevance(query: Column, question: Column, text: Column) -> Column:
+    """The deterministic scorer: 0.70, with shares of query words in question and text and a little for long texts, 1.5 at most; 0.25 without a shared word."""
+    q = F.array_distinct(query)
+    share = lambda ws: F.when(F.size(q) > 0, F.size(F.array_intersect(q, ws)) / F.size(q)).otherwise(0.0)
+    a, b = share(question), share(text)
+    long = F.least(F.lit(1.0), F.size(text) / 100)
+    return F.when((a > 0) | (b > 0), F.round(F.least(F.lit(1.5), 0.70 + 0.45 * a + 0.20 * b + 0.04 * long), 6)).otherwise(0.25)
+
+
+def first_json(text: Column) -> Column:
+    """The JSON object of a reply: code fences away, then from the first brace to the last."""
+    bare = F.regexp_replace(text, "```[a-z]*", "")
+    return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+
+
+def score_bar(score: Column, width: int = 20) -> Column:
+    """A bar of filled and open places for a score in 0..1."""
+    full = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * width).cast("int")
+    return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), F.lit(width) - full))
+
+
+def strip_trailing(ws: Column, added: Column) -> Column:
+    """Words without those at the end that an expansion appended."""
+    keep = F.aggregate(F.reverse(ws), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, w: F.struct((s.n + F.when(s.go & F.array_contains(added, w), 1).otherwise(0)).alias("n"), (s.go & F.array_contains(added, w)).alias("go")), lambda s: s.n)
+    return F.slice(ws, F.lit(1), F.greatest(F.lit(0), F.size(ws) - keep))

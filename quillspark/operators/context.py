@@ -45,3 +45,9 @@ def rule_domain(text: Column, rules: list[tuple[str, str]], default: str) -> Col
 def extractive(rows: DataFrame, answer: Column, most: int = 2500) -> DataFrame:
     """(query_id, doc_id, answer): the first row's answer."""
     return rows.where("rank = 1").select("query_id", "doc_id", F.substring(answer, 1, most).alias("answer"))
+
+
+def clean_expansion(text: Column, present: Column, least: int, cap: int) -> Column:
+    """Terms of an expansion: long enough, no stop words, none already present, each once, at most cap."""
+    fresh = F.filter(T.tokens(text, least, T.STOP_WORDS), lambda t: ~F.array_contains(present, t))
+    return T.ordered_unique(fresh, cap)

@@ -71,3 +71,20 @@ def keep_first(rows: DataFrame, key: Column, order: list, by: list[str] | None =
     w = Window.partitionBy(*(by or []), key).orderBy(*order)
     ranked = rows.withColumn("__key", key).withColumn("__rank", F.row_number().over(w))
     return ranked.where((F.col("__rank") == 1) | (F.col("__key") == "")).drop("__key", "__rank")
+
+
+def target_text(query: Column, question: Column) -> Column:
+    """What is embedded: query and question on two lines if both are there and differ, else the one that is."""
+    q = F.coalesce(query, F.lit(""))
+    return F.when((q == "") | (q == question), question).when(question == "", q).otherwise(F.concat_ws("\n", q, question))
+
+
+def drop_unknown(mapping: DataFrame, headers: DataFrame) -> DataFrame:
+    """Mapped columns that the files have: ``mapping(table_name, role, column_name)`` cut to ``headers(table_name, column_name)``."""
+    return mapping.join(headers.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_semi")
+
+
+def resolve_mapping(inferred: DataFrame, given: DataFrame) -> DataFrame:
+    """A given column for a table's role wins over the inferred one; ``given`` is keyed by the whole table name."""
+    over = given.select("table_name", "role", F.col("column_name").alias("__given"))
+    return inferred.join(over, ["table_name", "role"], "left").withColumn("column_name", F.coalesce("__given", "column_name")).drop("__given")

@@ -26,10 +26,16 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFram
 
 
 def encodings(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, encoding, has_bom): UTF-8 if its bytes are valid, else the single-byte fallback."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    text = F.col("content").cast("string")
-    return files.select("path", F.when(F.is_valid_utf8(text), "UTF-8").otherwise("windows-1256").alias("encoding"), (F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("has_bom"), "length")
+    """(path, encoding, has_bom, head): UTF-8 if every line's bytes are valid, else the single-byte Arabic charset, or Latin-1 where a
+    byte has no meaning there; and the first line. Files are read as lines in one job, so none need fit in memory."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("encoding", "ISO-8859-1").text(root)
+    # one character a byte: what the bytes say as UTF-8 is seen by encoding them back
+    raw = F.encode("value", "ISO-8859-1")
+    meta = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("start"), raw.alias("raw"), F.monotonically_increasing_id().alias("n"))
+    good = F.min(F.is_valid_utf8(F.col("raw").cast("string")))
+    arabic = ~F.max(F.hex("raw").rlike("^(?:..)*(?:00)"))
+    seen = meta.groupBy("path").agg(good.alias("utf8"), arabic.alias("arabic"), F.max("length").alias("length"), F.min_by("raw", F.struct("start", "n")).alias("head"))
+    return seen.select("path", F.when(F.col("utf8"), "UTF-8").when(F.col("arabic"), "windows-1256").otherwise("ISO-8859-1").alias("encoding"), (F.hex(F.substring("head", 1, 3)) == "EFBBBF").alias("has_bom"), "length", F.hex("head").alias("head"))
 
 
 def read_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -44,11 +50,10 @@ def read_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") ->
 def read_csv_tree(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """Every CSV under root in the encoding that fits it, columns united by name; empty files are left out.
 
-    Files are grouped by header on the driver (names only), so each group is one scan."""
+    One job reads the headers; files are grouped by header on the driver (names only), so each group is one scan."""
     groups: dict[tuple, list[str]] = {}
     for r in encodings(spark, root, pattern).where("length > 0").collect():
-        head = spark.read.text(r.path).limit(1).collect()
-        groups.setdefault((r.encoding, head[0][0] if head else ""), []).append(r.path)
+        groups.setdefault((r.encoding, r.head), []).append(r.path)
     parts = [read_csv(spark, paths, enc) for (enc, head), paths in sorted(groups.items()) if head]
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField("source_path", T.StringType())]))
@@ -104,3 +109,32 @@ def synthetic(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     size = F.when(u < 6, 20).when(u < 9, 120).otherwise(600)
     word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(seed), k), F.lit(5000)).cast("string"))
     return spark.range(n).select(F.col("id").cast("string").alias("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), word), " ").alias("question"), F.array_join(F.transform(F.sequence(F.lit(1), size), word), " ").alias("answer"), F.concat(F.lit("c"), F.pmod("id", F.lit(4)).cast("string")).alias("category"))
+
+
+def with_source(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Rows of a CSV tree with what their path says: source (two folders up), category (the folder), subcategory (the stem).
+
+    ``names(source, source_name, group)`` adds a source's display name and group."""
+    parts = F.split(F.regexp_replace("source_path", "^[a-z]+:/+", "/"), "/")
+    up = lambda k: F.coalesce(F.try_element_at(parts, F.lit(-k)), F.lit(""))
+    out = df.withColumns({"source": up(3), "category": up(2), "subcategory": F.regexp_replace(up(1), r"(_output)?\.[A-Za-z0-9]+$", "")})
+    return out if names is None else out.join(F.broadcast(names), "source", "left")
+
+
+def load_documents(spark: SparkSession, root: str, pattern: str = "*_output.csv", names: DataFrame | None = None) -> DataFrame:
+    """All files of the fixed contract under root as documents; a file that lacks an expected column is left out as a whole, as are
+    rows without question and answer. Where root has no such file, its ``data`` folder is read."""
+    rows = read_csv_tree(spark, root, pattern)
+    if not set(EXPECTED) <= set(rows.columns) and not root.rstrip("/").endswith("/data"):
+        rows = read_csv_tree(spark, f"{root.rstrip('/')}/data", pattern)
+    if not set(EXPECTED) <= set(rows.columns):
+        raise ValueError(f"no file under {root} has the columns {EXPECTED}")
+    # united by name: a column that a file lacks is null in all of its rows, one that it has is blank at least
+    whole = rows.where(" and ".join(f"`{c}` is not null" for c in EXPECTED))
+    clean = whole.select(*[F.trim(c).alias(c) for c in EXPECTED], "source_path").where("not (Question = '' and Answer = '')")
+    return with_source(clean, names)
+
+
+def eval_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation queries of a JSON array: label, question, expected_category, expected_keywords, category_filter."""
+    return spark.read.schema("label string, question string, expected_category string, expected_keywords array<string>, category_filter string").json(path, multiLine=True)

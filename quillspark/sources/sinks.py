@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.records import upsert
@@ -54,6 +58,13 @@ def index_root(spark: SparkSession) -> str:
     return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexical-{spark.sparkContext.applicationId}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder and read again: computed once, and safe when executors are lost."""
+    spark, path = df.sparkSession, f"{index_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
     """Bytes of a table and the last change of its folder or file."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -93,3 +104,76 @@ def stage_status(spark: SparkSession, path: str) -> dict[str, str]:
 
 def vector_stats(vectors: DataFrame, namespace: str = "label", vec_col: str = "embedding") -> DataFrame:
     return vectors.groupBy(namespace).agg(F.count("*").alias("vectors"), F.max(F.size(vec_col)).alias("dimension"))
+
+
+# ---- further sinks -----------------------------------------------------------------------
+
+
+def upsert_chunks(chunks: DataFrame, path: str, text: str = "text", key: str = "chunk_id") -> dict[str, int]:
+    """Chunks with their hashed sparse vector, appended once each."""
+    from ..operators.lexical import sparse_vectors
+
+    weights = sparse_vectors(chunks, key, F.col(text)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("sparse"))
+    return append_new(chunks.join(weights, key, "left"), path, key)
+
+
+def upsert_named(rows: DataFrame, path: str, name_col: str, key: str = "id") -> dict[str, int]:
+    """Rows into one folder for each index name; what an index already holds is skipped."""
+    existing = read_or_none(rows.sparkSession, path)
+    fresh = rows.dropDuplicates([name_col, key])
+    new = fresh if existing is None else fresh.join(existing.select(name_col, key), [name_col, key], "left_anti")
+    new = written(new, "upsert")
+    new.write.mode("append").partitionBy(name_col).parquet(path)
+    n, total = new.count(), rows.count()
+    return {"upserted": n, "skipped": total - n, "total": total}
+
+
+def write_hierarchy(records: DataFrame, levels: list[str], path: str, title: str = "question") -> None:
+    """A category tree's artefacts: flat lookup, inner nodes with leaf counts, counts of the first level."""
+    from ..operators.tree import nodes
+
+    records.withColumn("path", F.concat_ws("/", *levels)).write.mode("overwrite").parquet(f"{path}/lookup")
+    nodes(records, levels).write.mode("overwrite").parquet(f"{path}/nodes")
+    records.groupBy(levels[0]).agg(F.count("*").alias("n"), F.count_if(F.trim(title) == "").alias("blank")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def export_markdown(records: DataFrame, levels: list[str], path: str, title: str = "question", key: str = "id") -> None:
+    """The hierarchy as markdown lines, a folder for each first level: headings, then titles with their ids."""
+    line = F.concat(F.lit("- "), F.regexp_replace(F.substring(title, 1, 200), r"\s+", " "), F.lit(" <!-- id: "), F.col(key).cast("string"), F.lit(" -->"))
+    heads = F.concat_ws("\n", *[F.concat(F.lit("#" * (k + 1) + " "), c) for k, c in enumerate(levels)])
+    first = F.row_number().over(Window.partitionBy(*levels).orderBy(title, key)) == 1
+    rows = records.withColumn("value", F.when(first, F.concat_ws("\n", heads, line)).otherwise(line)).select(*levels, title, key, "value")
+    rows.repartition(levels[0]).sortWithinPartitions(*levels, title, key).select(F.col(levels[0]).alias("part"), "value").write.mode("overwrite").partitionBy("part").text(path)
+
+
+def read_json_lookup(spark: SparkSession, path: str) -> DataFrame | None:
+    """A lookup table, or None if there is none."""
+    return read_or_none(spark, path, {"path"})
+
+
+def subtree(nodes: DataFrame, name: str, depth: int = 2) -> DataFrame:
+    """Nodes at or under the first node, not deeper than ``depth``, whose last title holds a name, whatever its case."""
+    root = nodes.where(F.col("level") <= depth).where(F.contains(F.lower(F.element_at(F.split("path", "/"), -1)), F.lit(name.lower())))
+    first = root.orderBy("level", "path").limit(1).select(F.col("path").alias("root"))
+    return nodes.join(F.broadcast(first), (F.col("path") == F.col("root")) | F.startswith("path", F.concat("root", F.lit("/")))).drop("root")
+
+
+def write_report(summary: DataFrame, path: str) -> None:
+    """An evaluation's summary as JSON lines."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def cached(spark: SparkSession, path: str, columns: set[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The side table at path, made anew if it is missing or its columns are of an older version."""
+    found = read_or_none(spark, path, columns)
+    if found is None:
+        make().write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path)
+    return found
+
+
+def delete_rows(path: str, spark: SparkSession, gone: DataFrame, key: str = "id") -> int:
+    """Rewrites a vector table without the rows named; returns how many are left."""
+    left = written(spark.read.parquet(path).join(gone.select(key), key, "left_anti"), "left")
+    left.write.mode("overwrite").parquet(path)
+    return left.count()

@@ -162,3 +162,54 @@ def test_profile_blank_columns(spark):
     got = {r.column_name: (r.null_ratio, r.samples) for r in profile.profile(cells).collect()}
     assert got["a"] == (1.0, "") and got["b"] == (0.0, "x | y")
     assert files.synthetic(spark, 30).count() == 30
+
+
+def test_orchestrate_resumes_and_stops(spark, tmp_path):
+    from quillspark.streaming.orchestrate import Stage, orchestrate
+
+    log, ran = f"file://{tmp_path}/log", []
+
+    def bad(_):
+        raise ValueError("broken")
+
+    stages = [Stage("one", lambda s: ran.append(1) or "fine"), Stage("two", bad), Stage("three", lambda s: ran.append(3) or "")]
+    assert [r.status for r in orchestrate(spark, stages, log).results] == ["completed", "failed", "not_run"]
+    stages[1] = Stage("two", lambda s: "mended")
+    again = orchestrate(spark, stages, log)
+    assert [r.status for r in again.results] == ["skipped", "completed", "completed"] and again.ok and ran == [1, 3]
+
+
+def test_load_documents(spark, tmp_path):
+    from quillspark.sources import files
+
+    folder = tmp_path / "Src" / "CAT"
+    folder.mkdir(parents=True)
+    head = ",".join(files.EXPECTED) + "\n"
+    (folder / "a_output.csv").write_text(head + "u,q,1, Quest ,Ans\nu,q,2,,\n", "utf-8-sig")
+    (folder / "b_output.csv").write_bytes((head + "u,q,3,سوال,جواب\n").encode("windows-1256"))
+    (folder / "c_output.csv").write_text("Query,Answer\nx,y\n")
+    (folder / "d_output.csv").write_text("")
+    got = {(r.FatwahNo, r.Question, r.source, r.category, r.subcategory) for r in files.load_documents(spark, f"file://{tmp_path}").collect()}
+    assert got == {("1", "Quest", "Src", "CAT", "a"), ("3", "سوال", "Src", "CAT", "b")}
+
+
+def test_sinks_of_trees_chunks_and_names(spark, tmp_path):
+    from quillspark.sources import sinks
+
+    rec = spark.createDataFrame([("1", "q one", "A", "x"), ("2", "", "A", "y"), ("3", "q three", "B", "x")], "id string, question string, top string, sub string")
+    sinks.write_hierarchy(rec, ["top", "sub"], f"file://{tmp_path}/tree")
+    nodes = spark.read.parquet(f"file://{tmp_path}/tree/nodes")
+    assert {r.path for r in sinks.subtree(nodes, "a").collect()} == {"A", "A/x", "A/y"}
+    assert {(r.top, r.n, r.blank) for r in spark.read.parquet(f"file://{tmp_path}/tree/counts").collect()} == {("A", 2, 1), ("B", 1, 0)}
+    sinks.export_markdown(rec, ["top", "sub"], f"file://{tmp_path}/md")
+    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/md").collect()]
+    assert "# B" in lines and "- q three <!-- id: 3 -->" in lines
+    assert sinks.upsert_named(rec, f"file://{tmp_path}/named", "top") == {"upserted": 3, "skipped": 0, "total": 3}
+    assert sinks.upsert_named(rec, f"file://{tmp_path}/named", "top") == {"upserted": 0, "skipped": 3, "total": 3}
+    chunks_ = rec.select(F.col("id").alias("chunk_id"), F.col("question").alias("text"))
+    assert sinks.upsert_chunks(chunks_, f"file://{tmp_path}/chunks")["upserted"] == 3
+    assert sinks.delete_rows(f"file://{tmp_path}/chunks", spark, chunks_.limit(1), "chunk_id") == 2
+    made = []
+    for _ in range(2):
+        sinks.cached(spark, f"file://{tmp_path}/side", {"id"}, lambda: made.append(1) or rec)
+    assert len(made) == 1
