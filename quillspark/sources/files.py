@@ -28,9 +28,8 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFram
 def encodings(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """(path, encoding, has_bom, head): UTF-8 if every line's bytes are valid, else the single-byte Arabic charset, or Latin-1 where a
     byte has no meaning there; and the first line. Files are read as lines in one job, so none need fit in memory."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("encoding", "ISO-8859-1").text(root)
-    # one character a byte: what the bytes say as UTF-8 is seen by encoding them back
-    raw = F.encode("value", "ISO-8859-1")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    raw = F.col("value").cast("binary")  # a line's bytes as they are in the file
     meta = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("start"), raw.alias("raw"), F.monotonically_increasing_id().alias("n"))
     good = F.min(F.is_valid_utf8(F.col("raw").cast("string")))
     arabic = ~F.max(F.hex("raw").rlike("^(?:..)*(?:00)"))

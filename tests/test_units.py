@@ -63,7 +63,9 @@ def test_min_max_of_one_value(spark):
 def test_dense_blocks_agree(spark, monkeypatch):
     v = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(40)], "vec_id long, embedding array<float>")
     a = sorted(map(tuple, dense.search(v, v.where("vec_id < 9"), 3).collect()))
-    monkeypatch.setattr(dense, "BLOCK", 4)
+    monkeypatch.setattr(dense, "VECTORS", 7)
+    monkeypatch.setattr(dense, "QUERIES", 4)
+    monkeypatch.setattr(dense, "BROADCAST_BLOCKS", 1)
     assert sorted(map(tuple, dense.search(v, v.where("vec_id < 9"), 3).collect())) == a
 
 
