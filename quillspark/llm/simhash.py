@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     Texts are linked if the Jaccard similarity of their word shingles reaches the bound (256-bit
     SimHash tiles find the candidates, an exact comparison decides); groups are what links
-    connect; the smallest id of a group stays. Blank texts are a group if they are equal; texts whose
+    connect; the smallest id of a group stays. Texts without a word, nulls included, are one group; texts whose
     rows all have a null id are compared for equality only. First only a spanning forest of each
     tile pair's candidates is compared; then the nodes with candidates still in two groups meet again
     tile by tile with their whole sets, and each such pair is decided there or passed over because its
