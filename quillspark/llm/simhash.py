@@ -348,7 +348,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     open_sets = sets_of(open_nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
     carried = labelled.join(open_sets, "node")
     more = scratch.write(tiled_links(spark, carried, scratch, bits, labels=True, give="similar", **how), "more")
-    final = parts if more.isEmpty() else connected_components(spark, linked.union(more), scratch)
+    settled = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = parts if more.isEmpty() else connected_components(spark, settled.union(more), scratch)
     scratch.drop(sets, open_sets)
     named = marked.join(final, marked.id == final.node, "left")
     return rows.select("key", "id"), named.select("key", "id", F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("keep"))
