@@ -1,13 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Plan: a hash sample of the labelled rows, bounded by ``docs_per_lang``, gives character n-gram
+Plan: a hash sample of the labelled rows, bounded by ``docs_per_lang`` and ``bytes_per_lang``, gives character n-gram
 counts (counted in the tasks, summed by Spark); the driver turns them into one table per order
 of sorted gram hashes with the interpolated log-probability in every language; the tables
 (bounded by the sample) are broadcast, and every whole text is scored in bounded pieces.
 
 Words are runs of letters, lower-cased, with ``^`` before and ``$`` after; a context never leaves
 its word. A text's cross-entropy in a language is the mean over its symbols; the lowest wins.
-It is rejected if that cross-entropy exceeds what the model's own training texts show.
+It is rejected if that cross-entropy exceeds what texts of the language show that were held out of the fit.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with
 no labelled row at all every text is ``und``; repeated rows get equal results; the columns lang,
@@ -30,6 +30,11 @@ from pyspark.sql import types as T
 ORDER = 5
 #: Labelled documents that a language's model is fitted on, about: a hash sample, all where there are fewer.
 DOCS_PER_LANG = 2000
+#: Bytes of their texts, about: bounds what the driver gathers where documents are books.
+BYTES_PER_LANG = 64 << 20
+#: One in so many sampled documents of a language calibrates its rejection and is not fitted on; a language of
+#: fewer than ten times as many documents is calibrated on the fitted ones.
+CALIBRATE = 10
 #: Characters scored at a time, which bounds memory for very long texts.
 PIECE = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -211,7 +216,7 @@ class Model:
         return -total / np.maximum(symbols, 1)[:, None], symbols
 
     def calibrate(self, means: dict[str, tuple[float, float]]) -> None:
-        """Rejection: above the mean of a language's own training texts by ten deviations or three quarters, whichever is more."""
+        """Rejection: above the mean of a language's own calibration texts by ten deviations or three quarters, whichever is more."""
         for x, lang in enumerate(self.langs):
             if lang in means:
                 mean, dev = means[lang]
@@ -232,14 +237,17 @@ class Model:
         return [self.langs[b] if k else "und" for b, k in zip(best, n)], score, rejected
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column, docs_per_lang: int = DOCS_PER_LANG) -> Model:
-    """Fits on the usable rows with text and language: all, or a hash sample of about docs_per_lang for each language."""
+def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> Model:
+    """Fits on the usable rows with text and language: all, or a hash sample of about docs_per_lang documents and
+    at most about bytes_per_lang bytes for each language; a tenth of the sample calibrates the rejection."""
     rows = docs.where(usable).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")).alias("h"))
-    have = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    chosen = F.lit(False)
-    for lang, n in sorted(have.items()):
-        share = docs_per_lang / n
+    have = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()}
+    chosen, aside = F.lit(False), F.lit(False)
+    for lang, (n, size) in sorted(have.items()):
+        share = min(docs_per_lang / n, bytes_per_lang / max(size, 1))
+        if min(n, share * n) >= 10 * CALIBRATE:
+            aside = aside | (F.col("lang") == lang)
         bound = math.floor((2 * share - 1) * 2**63) if share < 1 else 2**63 - 1
         chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= bound))
 
@@ -259,8 +267,9 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "gram", "n"])
 
-    sample = rows.where(chosen).select("lang", "text")
-    counted = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    held = aside & (F.pmod(F.xxhash64("h"), F.lit(CALIBRATE)) == 0)
+    sample = rows.where(chosen).select("lang", "text", held.alias("held"))
+    counted = sample.where("not held").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(*counted.toArrow().to_pydict().values()):
         counts[lang][gram] = n
@@ -275,10 +284,12 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
                 at = {x: k for k, x in enumerate(m.langs)}
                 lang = batch.column(0).to_pylist()
                 keep = [k for k, x in enumerate(lang) if n[k] >= 50 and x in at]
-                yield pa.RecordBatch.from_arrays([pa.array([lang[k] for k in keep], pa.string()), pa.array([float(ce[k, at[lang[k]]]) for k in keep], pa.float64())], names=["lang", "ce"])
+                own_ce = [float(ce[k, at[lang[k]]]) for k in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([lang[k] for k in keep], pa.string()), pa.array(own_ce, pa.float64()), batch.column(2).take(pa.array(keep, pa.int64()))], names=["lang", "ce", "held"])
 
-        means = sample.mapInArrow(own, "lang string, ce double").groupBy("lang").agg(F.avg("ce").alias("m"), F.coalesce(F.stddev_pop("ce"), F.lit(0.0)).alias("d"))
-        model.calibrate({r.lang: (r.m, r.d) for r in means.collect()})
+        means = sample.mapInArrow(own, "lang string, ce double, held boolean").groupBy("lang", "held").agg(F.avg("ce").alias("m"), F.coalesce(F.stddev_pop("ce"), F.lit(0.0)).alias("d"))
+        # held-out rows come last and take the place of the fitted ones
+        model.calibrate({r.lang: (r.m, r.d) for r in sorted(means.collect(), key=lambda r: r.held)})
     return model
 
 
