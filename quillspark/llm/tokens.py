@@ -8,7 +8,8 @@ cut into blocks that are compressed on their own and carry the ones before them,
 counts and occurrences read a few blocks.
 
 Defined results: a null text is empty and gives the end id alone (shards) or length 0 (histogram);
-documents come in ascending id, null ids first, ties in any order; an empty table gives no file
+documents come in ascending id, null ids first, ties in the order of a hash of their text (which also
+parts many rows of one id, or of none, among shards); an empty table gives no file
 and an empty result; other columns are not read.
 """
 
@@ -44,13 +45,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a vocabulary's settings show if its words can be encoded one by one.
+WORDWISE = {
+    "normalizer": [r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'],
+    "pre_tokenizer": [r"""Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True""", "ByteLevel(add_prefix_space=False"],
+}
+
+
 class Encoder:
     """Whole texts to ids as the tokenizers library gives them, each word encoded once.
 
     The vocabulary's splitter never joins what white space parts, nor a mark of ``.,;:!?`` that
     ends a word after a letter or digit with that word, and A-Z are lower-cased by it; so a
     text's ids are its words' ids in order. New words are encoded together, with a
-    special token between those that are more than letters. Texts with ``<|`` may hold special tokens and go to the library whole.
+    special token between those that are more than letters. Texts with ``<|`` may hold special tokens and go to the library whole,
+    as all texts do where the vocabulary's normaliser and splitter are not those of ``WORDWISE``.
     """
 
     between = "<|endoftext|>"
@@ -65,6 +74,7 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.code = "H" if self.kind == "<u2" else "I"
         self.stop = self.lib.token_to_id(self.between)
+        self.by_word = self.stop is not None and all(x in str(getattr(self.lib, k)) for k, parts in WORDWISE.items() for x in parts)
         # the byte alphabet of such vocabularies: printable Latin-1 as itself, the other bytes from 256 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
@@ -126,7 +136,7 @@ class Encoder:
             for text in texts[at:end]:
                 if not text:
                     parts.append((b"", ()))
-                elif "<|" in text:
+                elif "<|" in text or not self.by_word:
                     parts.append((self._whole(text), ()))
                 else:
                     words = text.encode("utf-8").lower().split()
@@ -289,7 +299,8 @@ def write_token_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id",
     path = path or vocabulary()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(int(n), "id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    rows = rows.repartitionByRange(int(n), "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder.shared(path), TaskContext.get().partitionId()
@@ -364,18 +375,23 @@ def length_table(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(table: DataFrame, limits: DataFrame) -> DataFrame:
-    """``limits(max_tokens)`` with the tokens kept and documents cut at each: for any limit, from the next longer length."""
+    """``limits(max_tokens)`` with the tokens kept and documents cut at each: for any limit, from the next longer length.
+    Lengths and limits, not documents, are put in one order and passed over once; limits that are null are left out."""
     last = table.agg(F.sum("tokens").alias("all"))
-    longer = table.select("n_tokens", "docs_from", "tokens_from")
-    # limits and lengths are two short lists; neither grows with the documents
-    near = limits.join(longer, F.col("n_tokens") > F.col("max_tokens"), "left").groupBy("max_tokens").agg(F.min_by(F.struct("docs_from", "tokens_from"), "n_tokens").alias("x"))
+    asked = limits.where("max_tokens is not null").select(F.col("max_tokens").cast("long").alias("max_tokens")).distinct()
+    both = table.select(F.col("n_tokens").alias("at"), F.lit(False).alias("asks"), F.struct("docs_from", "tokens_from").alias("x")).unionByName(asked.select(F.col("max_tokens").alias("at"), F.lit(True).alias("asks")), allowMissingColumns=True)
+    before = Window.orderBy(F.col("at").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("x", F.last("x", ignorenulls=True).over(before)).where("asks").select(F.col("at").alias("max_tokens"), "x")
     cut = F.coalesce(F.col("x.docs_from"), F.lit(0))
     return near.join(F.broadcast(last)).select("max_tokens", (F.coalesce("all", F.lit(0)) - F.coalesce(F.col("x.tokens_from"), F.lit(0)) + cut * F.col("max_tokens")).alias("tokens_kept"), cut.alias("docs_cut"))
 
 
 def quantiles(table: DataFrame, shares: DataFrame) -> DataFrame:
     """``shares(q)`` with the shortest length that at least this share of the documents does not exceed."""
-    return shares.join(table.select("n_tokens", "share_upto"), F.col("share_upto") >= F.col("q")).groupBy("q").agg(F.min("n_tokens").alias("n_tokens"))
+    asked = shares.where("q is not null").select(F.col("q").cast("double").alias("at"), F.lit(True).alias("asks")).distinct()
+    both = table.select(F.col("share_upto").alias("at"), F.lit(False).alias("asks"), "n_tokens").unionByName(asked, allowMissingColumns=True)
+    before = Window.orderBy(F.col("at").desc(), "asks", F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("n_tokens", F.last("n_tokens", ignorenulls=True).over(before)).where("asks and n_tokens is not null").select(F.col("at").alias("q"), "n_tokens")
 
 
 # ---- registered queries ------------------------------------------------------------------
