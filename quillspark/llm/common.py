@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -61,6 +62,25 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(b"null")).otherwise(F.unhex(F.md5(text)))
 
 
+def ranked(rows: DataFrame, order: list[Column], scratch: Scratch, within: str | None = None) -> DataFrame:
+    """rows with ``pos``, gapless from 0 in the given order (of each value of the non-null column within, if named,
+    by which the order must begin), and ``n``, how many rows the value has.
+
+    Rows are range-partitioned and sorted, and their places in the partitions written; partitions' counts, one for each
+    partition and value, give the offsets. Rows that are equal in order meet in one partition: end it with a
+    column that tells them apart where there may be many.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [] if within is None else [within]
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = scratch.write(placed.withColumn("__part", F.shiftright("__at", 33)), "placed")
+    cells = placed.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    every = Window.partitionBy(*group)
+    cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("__n").over(every))
+    done = placed.join(cells, [*group, "__part"]).withColumn("pos", F.col("__before") + F.col("__at") - F.col("__first"))
+    return done.drop("__at", "__part", "__first", "__n", "__before")
+
+
 def connected_components(spark: SparkSession, pairs: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """``pairs(a, b)`` of longs -> ``(node, component)`` for the nodes in pairs; the component is
     its smallest node.
@@ -92,3 +112,13 @@ def _stars(edges: DataFrame) -> bool:
     end = lambda v, up, at: F.struct(F.col(v).alias("v"), F.lit(up).alias("up"), F.lit(at).alias("at"))
     ends = edges.select(F.inline(F.array(end("a", 1, 0), end("b", 0, 1))))
     return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("at").alias("at")).where("up > 0 and up + at > 1").count() == 0
+
+
+#: A DuckDB table ``crc(t)``: one list, the checksum's 256 entries.
+CRC_SQL = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes in DuckDB, where the table ``crc`` is joined."""
+    each = f"list_transform(range(octet_length(encode({text}))), lambda j: ('0x' || substr(hex(encode({text})), (2 * j + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {each}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
