@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, merkle, mixing, pii, sharding, simhash, suffix_dedup, tokens
+from . import decontaminate, importance, langid, media, merkle, mixing, pii, sharding, simhash, suffix_dedup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_copies": media.op8_media_copies,
         "op9_token_counts": tokens.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
+        "op11_importance_resampling": importance.op11_importance_resampling,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
@@ -28,5 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.OP6_SQL,
+        "op11_importance_resampling": importance.OP11_SQL,
         "op13_merkle_manifest": merkle.OP13_SQL,
     }
