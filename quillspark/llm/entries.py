@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, importance, langid, media, merkle, mixing, pii, sharding, simhash, suffix_dedup, tokens
+from . import decontaminate, importance, langid, media, merkle, mixing, ngram, pii, sharding, simhash, suffix_dedup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": tokens.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
         "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_lm_scoring": ngram.op12_lm_scoring,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.OP6_SQL,
         "op11_importance_resampling": importance.OP11_SQL,
+        "op12_lm_scoring": ngram.OP12_SQL,
         "op13_merkle_manifest": merkle.OP13_SQL,
     }
