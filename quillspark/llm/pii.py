@@ -5,11 +5,12 @@ Plan: one projection, no shuffle. One pattern finds candidates in the whole text
 itself within its format, so equal values have equal pseudonyms in all documents, and different
 values different ones. The permutation is a Feistel network of ten rounds with SHA-512 under the
 key: on digit strings (cards keep their Luhn sum, phones and social security numbers their punctuation),
-on the two halves of an IPv4 address, on the hexadecimal digits of an IPv6 address, on the days 1900-01-01 to
+on the two halves of an IPv4 address, on the 32 hexadecimal digits of an IPv6 address (written in full), on the days 1900-01-01 to
 2099-12-31 (walking the cycle past numbers that are no day), and on letters and digits of e-mail addresses (the
 local part, and the domain but for its last label) and secrets. A bare hexadecimal string is a secret only after a
 word that says so: checksums and commit hashes stay. Phones must have the form of the numbering plan: area and
-exchange of a ten-digit number begin with 2 to 9, international numbers have 8 to 15 digits.
+exchange of a ten-digit number begin with 2 to 9, international numbers have 8 to 15 digits; ten digits in a row are a
+phone only after a word that says so.
 
 Defined results: a null text stays null with counts 0; an empty text stays empty; candidates that
 do not validate stay as they are; repeated rows get equal results; an empty table gives an empty
@@ -18,6 +19,7 @@ result; other columns pass through (those named like a result column give way).
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +39,12 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+(])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+(])\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z]|[ .-]?[0-9])|(?<=\b(?i:phone|tel|telephone|call|mobile|cell|fax)[.:# ]{1,3})[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
 KINDS = list(PATTERNS)
 #: What a match alone looks like, where its pattern also looks at what stands before.
-ALONE = PATTERNS | {"secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}"}
+ALONE = PATTERNS | {"phone": PATTERNS["phone"] + "|[2-9][0-9]{2}[2-9][0-9]{6}", "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}"}
 #: Setting that holds the key of the registered query.
 KEY_SETTING = "spark.quillspark.pseudonymKey"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -196,10 +198,16 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _ipv6(m: Column, key: str) -> Column:
-    """The same address in the same notation has the same pseudonym. Short forms need three groups and a digit."""
-    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
-    ok = ~m.contains("::") | ((groups >= 3) & (groups <= 7) & m.rlike("[0-9]"))
-    return F.when(ok, feistel_text(F.lower(m), key, "ipv6", hexadecimal=True))
+    """An address has one pseudonym in all its notations, written in full. Short forms need three groups and a digit."""
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    short = m.contains("::")
+    ok = ~short | ((F.size(groups(m)) >= 3) & (F.size(groups(m)) <= 7) & m.rlike("[0-9]"))
+    left, right = groups(F.substring_index(m, "::", 1)), F.when(short, groups(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>"))
+    all_eight = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+    whole = F.array_join(F.transform(all_eight, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    made = feistel_text(whole, key, "ipv6", hexadecimal=True)
+    # the permuted digits are made once and bound to a name
+    return F.when(ok, F.aggregate(F.array(made), F.lit(""), lambda _, v: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.substr(v, i, F.lit(4))), ":")))
 
 
 def _valid_ssn(d: Column) -> Column:
@@ -221,19 +229,18 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = digits_of(m)
-    keep = F.greatest(F.length(d) - 10, F.lit(0))  # the country code stays
-    plain = m.rlike(r"^\+[0-9]+$")
-    keep = F.when(plain, F.least(F.lit(2), F.length(d) - 4)).otherwise(keep)
-    abroad = F.startswith(m, F.lit("+")) & ~F.startswith(d, F.lit("1"))
-    ten = F.substr(d, F.length(d) - 9, F.lit(10))
-    planned = F.when(abroad, F.length(d).between(8, 15) & ~F.startswith(d, F.lit("0"))).otherwise((F.length(d) <= 11) & ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    """The country code stays: what stands before the first separator, of numbers in a row two digits (one for 1)."""
+    d, plus, plan = digits_of(m), F.startswith(m, F.lit("+")), "^[2-9][0-9]{2}[2-9][0-9]{6}$"
+    home = ~plus | F.startswith(d, F.lit("1"))
+    code = F.length(F.regexp_extract(m, "^[+]([0-9]{1,3})[ .-]", 1))
+    keep = F.when(home, F.greatest(F.length(d) - 10, F.lit(0))).when(code > 0, code).otherwise(2)
+    planned = F.when(home, (F.length(d) <= 11) & F.right(d, F.lit(10)).rlike(plan)).otherwise(F.length(d).between(8, 15))
     # walks the permutation until the number has the plan's form again, as eight of ten pairs of digits have
     start = F.struct(F.substr(d, keep + 1, F.length(d)).alias("v"), F.lit(False).alias("ok"))
 
     def walk(x: Column, _: Column) -> Column:
         y = F.when(x.ok, x.v).otherwise(feistel_text(x.v, key, "phone"))
-        return F.struct(y.alias("v"), (x.ok | plain | abroad | y.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")).alias("ok"))
+        return F.struct(y.alias("v"), (x.ok | ~home | y.rlike(plan)).alias("ok"))
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, walk, lambda x: x.v)
     return F.when(planned, refill(m, walked, keep))
@@ -264,8 +271,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     counts = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in counts]
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), replaced(m).alias("x")))
-    # a text without a digit has at most an e-mail address, which needs its sign
-    marked = docs.select(*rest, F.when(text.rlike("[0-9@]"), found).alias("__found"))
+    marked = docs.select(*rest, found.alias("__found"))
     parts = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(parts, "__found", lambda p, f: F.concat(p, F.coalesce(f.x.out, f.m, F.lit("")))), "")
     done = F.when(F.size("__found") > 0, joined).otherwise(text)
@@ -277,6 +283,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     return marked.select(*[done.alias(c) if c == text_col else F.col(c) for c in rest], *n)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the setting holds; where it is unset, a secret random one, set for the rest of the session."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pseudonymise(docs.select("doc_id", "text"), key=spark.conf.get(KEY_SETTING, "a key that its owner sets"))
+    return pseudonymise(docs.select("doc_id", "text"), key=session_key(spark))
