@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, by hashed word features.
 
 Plan: one pass over the texts writes a row for each document and posting blocks: for one bucket, the documents
-of an Arrow batch that have it and how often. Blocks are dealt by (bucket group, salt): a group has a sixteenth of the buckets, a salt
+of a slice of a batch that have it and how often. Blocks are dealt by (bucket group, salt): a group has a sixteenth of the buckets, a salt
 about a million postings of each group, so a bucket with a third of all postings lies in as many cells as it needs and
 a document in at most sixteen. Corpus and target totals of a cell's buckets are co-grouped with its blocks, each bucket's
 gain weighs its postings there, and a document's contributions, one for each group, are summed by document.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CRC_SQL, Scratch, crc32_sql, ranked
-from .words import NOT_ALNUM, Words, combine, counted, words_of
+from .words import NOT_ALNUM, Words, combine, counted, slices, words_of
 
 BUCKETS = 10000
 #: Bucket groups (and the most contributions of a document), postings of a cell (about) and of a block (at most).
@@ -49,7 +49,7 @@ def bucket_totals(texts: DataFrame, text_col: str, lengths: tuple[int, int], buc
     """``(bucket, n)``: features of all texts in each bucket that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 0)):
             n = np.bincount(features(words_of(batch.column(0), NOT_ALNUM), lengths, buckets)[1], minlength=buckets)
             has = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(n[has])], names=["bucket", "n"])
@@ -66,7 +66,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1)):
             size = batch.num_rows
             words = words_of(batch.column(1), NOT_ALNUM)
             row, bucket = features(words, lengths, buckets)

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CRC_SQL, Scratch, crc32_sql
-from .words import combine, counted, words_of
+from .words import combine, counted, slices, words_of
 
 ORDER = 2
-#: Tokens for a bucket of n-grams, about; distinct n-grams that a task gathers before it sends them; bytes of text counted or scored together.
-BUCKET, GATHER, SLICE = 1 << 21, 1 << 22, 8 << 20
+#: Tokens for a bucket of n-grams, about; distinct n-grams that a task gathers before it sends them.
+BUCKET, GATHER = 1 << 21, 1 << 22
 #: A word is hot with more than this part of all tokens.
 HOT = 1024
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -65,14 +65,6 @@ def tokens_of(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray]
     return first, columns
 
 
-def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE bytes of the column at."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
-
-
 def summed(parts: list[Counted]) -> Counted:
     columns = [np.concatenate(c) for c in zip(*(p.columns for p in parts))]
     _, place, n = counted(combine(columns), np.concatenate([p.n for p in parts]))

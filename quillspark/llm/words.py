@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes looked at together, which bounds memory for very long texts.
 PIECE = 1 << 20
+#: Bytes of text whose words are arrays at a time, about.
+SLICE = 8 << 20
 #: Bytes that part words: the six ASCII white-space characters; or all of ASCII but digits and lower-case letters.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = (np.arange(256) < 0x80) & ~np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B)])
@@ -30,6 +33,14 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE bytes of the column at."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values over all of theirs."""
     with np.errstate(over="ignore"):

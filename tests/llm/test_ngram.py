@@ -127,7 +127,7 @@ def test_slices_and_sends_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
     train = [zipf(rng, 60) for _ in range(60)]
     want = got(spark, train, train[:9], 3)
-    monkeypatch.setattr(ngram, "SLICE", 500)
+    monkeypatch.setattr(W, "SLICE", 500)
     monkeypatch.setattr(ngram, "GATHER", 50)
     for x, y in zip(got(spark, train, train[:9], 3), want, strict=True):
         assert x == pytest.approx(y)
