@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexical import top
+from .sizes import BROADCAST_BYTES
 
 #: Vectors and queries that are compared in one block: a product of two matrices that fit in a few megabytes.
 VECTORS, QUERIES = 4096, 512
-#: Query blocks up to which they are broadcast (about 64 MB of 64 numbers each); beyond, blocks meet in a shuffle.
-BROADCAST_BLOCKS = 256
-
-
 def packed(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
     """(ids, m) blocks of up to ``size`` vectors: their ids, and their unit-length rows as packed doubles."""
 
@@ -33,17 +30,8 @@ def packed(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "ids array<long>, m binary")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", keep: Column | None = None, floor: float | None = None, own: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k nearest by cosine to 6 digits, ties by id, a vector of the query's own id left out
-    unless ``own``.
-
-    The stated query set meets all vectors block by block in one scan: a pair of blocks is one matrix product, and
-    each pair's best are cut before anything else moves. ``keep`` filters vectors before they are
-    ranked, ``floor`` drops scores after. Vectors of no length score zero."""
-    base = vectors if keep is None else vectors.where(keep)
-    asked = packed(queries, id_col, vec_col, QUERIES).withColumnsRenamed({"ids": "qids", "m": "qm"})
-    small = queries.count() <= BROADCAST_BLOCKS * QUERIES
-    pairs = packed(base, id_col, vec_col, VECTORS).crossJoin(F.broadcast(asked) if small else asked)
+def nearest(pairs: DataFrame, k: int, own: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): of each pair of blocks (ids, m, qids, qm) the k best vectors of every query by cosine to 6 digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,5 +47,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec
                 cols = [np.repeat(qids, real.sum(axis=1)), ids[order][real], best[real]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
 
-    out = top(pairs.mapInArrow(run, "query_id long, doc_id long, score double"), k)
+    return pairs.select("ids", "m", "qids", "qm").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", keep: Column | None = None, floor: float | None = None, own: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k nearest by cosine to 6 digits, ties by id, a vector of the query's own id left out
+    unless ``own``.
+
+    The stated query set meets all vectors block by block in one scan: a pair of blocks is one matrix product, and
+    each pair's best are cut before anything else moves. The queries are broadcast if their bytes allow it. ``keep`` filters vectors before they are
+    ranked, ``floor`` drops scores after. Vectors of no length score zero."""
+    base = vectors if keep is None else vectors.where(keep)
+    asked = packed(queries, id_col, vec_col, QUERIES).withColumnsRenamed({"ids": "qids", "m": "qm"})
+    # the bytes of the query vectors as they will be packed, from one pass over the queries
+    width = queries.agg(F.sum(F.size(vec_col) * 8 + 8)).first()[0] or 0
+    pairs = packed(base, id_col, vec_col, VECTORS).crossJoin(F.broadcast(asked) if width <= BROADCAST_BYTES else asked)
+    out = top(nearest(pairs, k, own), k)
     return out if floor is None else out.where(F.col("score") >= floor)

@@ -9,6 +9,7 @@ from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import gates as G
 from ..operators import lexical as L
+from ..operators import vector_index as V
 from ..registry import query, table
 from ..sources.sinks import index_once
 from .corpus import A, Q, TOKENS
@@ -124,6 +125,33 @@ def cosine_topk(spark, d):
     return vectors(spark, d, k=5)
 
 
+def _vector_index(spark, d, k):
+    """Lists about the root of the number of vectors, and the probes that a sample of its own asks for."""
+    v = table(spark, d, "embeddings")
+    index = V.build(v, lists=max(1, round(v.count() ** 0.5)))
+    return v, v.where("vec_id % 100 = 0"), index, V.calibrated(index, v, k)
+
+
+@query()
+def vector_index_topk(spark, d):
+    _, asked, index, probes = _vector_index(spark, d, 10)
+    return V.search(index, asked, 10, probes=probes)
+
+
+@query("SELECT count(*) AS asked, true AS recall_reached, true AS compared_less FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, d):
+    """Whether nine of ten exact neighbours of all queries are found, and with fewer comparisons than all."""
+    v, asked, index, probes = _vector_index(spark, d, 10)
+    found = V.recall(V.search(index, asked, 10, probes=probes), D.search(v, asked, 10)).agg((F.avg("recall") >= 0.9).alias("recall_reached"))
+    less = V.work(index, asked, probes=probes).select((F.col("compared") < F.col("all_pairs")).alias("compared_less"))
+    return asked.agg(F.count("*").alias("asked")).crossJoin(found).crossJoin(less)  # one row each
+
+
+@query("SELECT label::VARCHAR AS namespace, count(embedding) AS vectors, max(len(embedding)) AS dimension, count_if(embedding IS NULL)::BIGINT AS empty FROM embeddings GROUP BY 1")
+def vector_stats(spark, d):
+    return V.stats(table(spark, d, "embeddings"), F.col("label").cast("string"))
+
+
 @query(f"WITH {_cos('v.label = 1')} SELECT query_id, doc_id, score, rank FROM dt")
 def cosine_filtered_topk(spark, d):
     return vectors(spark, d, k=5, keep=F.col("label") == 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -53,9 +54,16 @@ _BUILT: dict[tuple, str] = {}
 
 
 def index_root(spark: SparkSession) -> str:
-    """Shared folder for indexes: the checkpoint folder, else the warehouse."""
+    """Shared folder for indexes: the checkpoint folder; where it is unset, a temporary folder if the master is local (one machine,
+    as in tests). Elsewhere no folder of this machine would be seen by the others, and an error says so."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexical-{spark.sparkContext.applicationId}"
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/lexical-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
