@@ -33,13 +33,13 @@ DAY_HALVES = (271, 270)
 #: Every alternative is bounded and starts only where its run starts, so a scan is linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_-])|(?<=(?i:token|secret|key|passw(?:or)?d|pwd|auth|bearer|credential|signature)[\s\"':=]{1,6})[0-9a-f]{32,128}(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_-])|(?=[0-9a-f]{32})(?<=(?i:token|secret|key|passw(?:or)?d|pwd|auth|bearer|credential|signature)[\s\"':=]{1,6})[0-9a-f]{32,128}(?![A-Za-z0-9_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+(])\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z]|[ .-]?[0-9])|(?<=\b(?i:phone|tel|telephone|call|mobile|cell|fax)[.:# ]{1,3})[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+(])\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z]|[ .-]?[0-9])|(?=[2-9][0-9]{9})(?<=\b(?i:phone|tel|telephone|call|mobile|cell|fax)[.:# ]{1,3})[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
 KINDS = list(PATTERNS)
@@ -47,6 +47,8 @@ KINDS = list(PATTERNS)
 ALONE = PATTERNS | {"phone": PATTERNS["phone"] + "|[2-9][0-9]{2}[2-9][0-9]{6}", "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}"}
 #: Setting that holds the key of the registered query.
 KEY_SETTING = "spark.quillspark.pseudonymKey"
+#: What every match has: a digit, an ``@``, a secret's mark or length, or seven groups with colons. Texts without are not searched.
+ANCHOR = r"[0-9@]|gh[pousr]_|sk-[A-Za-z0-9]|A[KS]IA|[a-f]{32}|(?:[A-Fa-f]{1,4}:){7}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -271,7 +273,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     counts = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in counts]
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), replaced(m).alias("x")))
-    marked = docs.select(*rest, found.alias("__found"))
+    marked = docs.select(*rest, F.when(text.rlike(ANCHOR), found).alias("__found"))
     parts = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(parts, "__found", lambda p, f: F.concat(p, F.coalesce(f.x.out, f.m, F.lit("")))), "")
     done = F.when(F.size("__found") > 0, joined).otherwise(text)

@@ -79,7 +79,7 @@ def test_planted_values_are_replaced_and_all_else_stays(spark):
 
 
 def test_what_a_text_holds_besides_changes_nothing(spark):
-    found = ["ghp_" + "abcdefghij" * 3 + "klmnop", "sk-" + "abcdefgh" * 3, "token: " + "abcdef" * 6]
+    found = ["ghp_" + "abcdefghij" * 3 + "klmnop", "sk-" + "abcdefgh" * 3, "token: " + "abcdef" * 6, "AKIA" + "ABCDEFGH" * 2, "ab:cd:ef:ab:cd:ef:ab:cd", "a@b.org"]
     got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(x + more,) for x in found for more in ("", " 7")], "text string"), "k").collect()]
     assert all(a + " 7" == b and a != x for x, a, b in zip(found, got[::2], got[1::2]))
 
