@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import gates as G
+from ..operators import impacts as I
 from ..operators import lexical as L
 from ..operators import vector_index as V
 from ..registry import query, table
@@ -63,6 +64,22 @@ def bm25_topk(spark, d):
     return L.top(full_scores(spark, d), 5)
 
 
+def _impacts(spark, d):
+    """The impact index of the whole texts: built from the lexical index, written once, read by every query."""
+    return index_once(spark, f"{d}/documents.parquet", "impacts", lambda: I.build(_index(spark, d, "full")), I)
+
+
+@query(f"WITH {FULL}, {_top('sc', 5, 't')} SELECT query_id, doc_id, score, rank FROM t")
+def impact_topk(spark, d):
+    return I.search(_impacts(spark, d), table(spark, d, "benchmark"), "item_id", F.col("text"), 5)[0]
+
+
+@query(f"WITH {FULL} SELECT query_id, sum(df)::BIGINT AS postings FROM qt JOIN df USING (term) GROUP BY 1")
+def impact_work(spark, d):
+    """Postings of each query's terms; how many a search reads of them is in the tests and README."""
+    return I.search(_impacts(spark, d), table(spark, d, "benchmark"), "item_id", F.col("text"), 5)[1].select("query_id", "postings")
+
+
 @query(f"WITH {QUEST}, {_top('(SELECT * FROM qsc WHERE score > 0)', 5, 't')} SELECT query_id, doc_id, score, rank FROM t")
 def bm25_question_topk(spark, d):
     return L.top(question_scores(spark, d), 5)

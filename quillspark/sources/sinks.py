@@ -73,29 +73,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Bytes of a table and the last change of its folder or file."""
+def table_state(spark: SparkSession, path: str) -> int:
+    """A hash of the names, lengths and times of a table's files, subfolders included."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
-
-
-def index_once(spark: SparkSession, path: str, kind: str, make):
-    """The index that ``make()`` builds over the table at path, built and written once a session and then read;
-    built anew if the table has changed since, or if what was written is gone."""
+    files, seen = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
+
+
+def index_once(spark: SparkSession, path: str, kind: str, make, form=None):
+    """The index that ``make()`` builds over the table at path, built and written once a session and then read; built anew if the
+    table has changed since, or if what was written is gone or of an older form. ``form`` has ``save(index, path)`` and
+    ``load(spark, path)``; without it the index is a lexical one."""
+    save, load = (form.save, form.load) if form else (save_index, load_index)
     at = (spark.sparkContext.applicationId, path, table_state(spark, path), kind)
-    found = load_index(spark, _BUILT[at]) if at in _BUILT else None
+    found = load(spark, _BUILT[at]) if at in _BUILT else None
     if found is None:
         _BUILT[at] = f"{index_root(spark)}/{kind}-{len(_BUILT)}"
-        save_index(make(), _BUILT[at])
-        found = load_index(spark, _BUILT[at])
+        save(make(), _BUILT[at])
+        found = load(spark, _BUILT[at])
     return found
 
 
+#: Tables of a lexical index and the columns that a reader of this version needs.
+LEXICAL = {"postings": {"term", "doc_id", "tf", "dl"}, "terms": {"term", "df"}, "stats": {"n_docs", "avg_dl"}}
+
+
 def load_index(spark: SparkSession, path: str):
+    """None if a table is missing or of an older form."""
     from ..operators.lexical import Postings
 
-    parts = [read_or_none(spark, f"{path}/{p}") for p in ("postings", "terms", "stats")]
+    parts = [read_or_none(spark, f"{path}/{p}", columns) for p, columns in LEXICAL.items()]
     return None if any(p is None for p in parts) else Postings(*parts)
 
 
