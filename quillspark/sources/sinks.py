@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.records import upsert
+from .commits import append_batch, delete_keys
 
 
 def read_or_none(spark: SparkSession, path: str, columns: set[str] | None = None) -> DataFrame | None:
@@ -23,19 +23,10 @@ def read_or_none(spark: SparkSession, path: str, columns: set[str] | None = None
     return df if columns is None or columns <= set(df.columns) else None
 
 
-def append_new(rows: DataFrame, path: str, key: str = "id") -> dict[str, int]:
-    """Appends rows whose key the table lacks; returns counters. Running it again appends nothing."""
-    spark = rows.sparkSession
-    existing = read_or_none(spark, path)
-    if existing is None:
-        fresh = rows.dropDuplicates([key])
-        fresh.write.mode("append").parquet(path)
-        n, total = spark.read.parquet(path).count(), rows.count()
-        return {"upserted": n, "skipped": 0, "total": total}
-    new, counted = upsert(rows, existing, key)
-    counts = counted.first().asDict()
-    new.write.mode("append").parquet(path)
-    return counts
+def append_new(rows: DataFrame, path: str, key: str = "id", batch: str | None = None) -> dict[str, int]:
+    """Appends rows whose key the table lacks, as one committed batch; returns counters. Running it again appends nothing. The table is
+    read by ``commits.read_committed``."""
+    return append_batch(rows, path, batch or uuid.uuid4().hex, key)
 
 
 def save_index(index, path: str) -> None:
@@ -190,8 +181,6 @@ def cached(spark: SparkSession, path: str, columns: set[str], make: Callable[[],
     return found
 
 
-def delete_rows(path: str, spark: SparkSession, gone: DataFrame, key: str = "id") -> int:
-    """Rewrites a vector table without the rows named; returns how many are left."""
-    left = written(spark.read.parquet(path).join(gone.select(key), key, "left_anti"), "left")
-    left.write.mode("overwrite").parquet(path)
-    return left.count()
+def delete_rows(path: str, spark: SparkSession, gone: DataFrame, key: str = "id", batch: str | None = None) -> int:
+    """Takes the rows named out of a table of committed batches; returns how many are left."""
+    return delete_keys(spark, path, gone, batch or uuid.uuid4().hex, key)

@@ -13,7 +13,8 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     """All files of source not seen yet, as unified records appended once each; a restart resumes from the
     checkpoint, and a repeated batch adds nothing."""
     docs = spark.readStream.schema(schema).parquet(source)
-    writer = docs.writeStream.foreachBatch(lambda df, _: append_new(R.unified(df), target) and None)
+    # a batch's name is the checkpoint's and its own number: a batch that runs again after a crash is known
+    writer = docs.writeStream.foreachBatch(lambda df, n: append_new(R.unified(df), target, batch=f"{checkpoint}#{n}") and None)
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -7,6 +7,7 @@ from quillspark.functions import text as T
 from quillspark.operators import chunks, dense, fusion, gates, guards, plugins, profile, tree
 from quillspark.operators import lexical as L
 from quillspark.sources import files, sinks
+from quillspark.sources.commits import read_committed
 from quillspark.streaming import ingest
 
 
@@ -124,7 +125,7 @@ def test_append_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "id string, v int")
     assert sinks.append_new(rows, str(tmp_path / "t"))["upserted"] == 2
     assert sinks.append_new(rows, str(tmp_path / "t")) == {"upserted": 0, "skipped": 3, "total": 3}
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert read_committed(spark, str(tmp_path / "t")).count() == 2
     sinks.log_run(spark, str(tmp_path / "runs"), "load", "completed", 1.0)
     assert sinks.stage_status(spark, str(tmp_path / "runs")) == {"load": "completed"} and sinks.stage_status(spark, str(tmp_path / "none")) == {}
 
@@ -143,10 +144,10 @@ def test_streaming_ingest_resumes(spark, sf_dir, tmp_path):
     docs.limit(50).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), docs.schema)
-    n = spark.read.parquet(str(tmp_path / "out")).count()
+    n = read_committed(spark, str(tmp_path / "out")).count()
     docs.write.mode("append").parquet(str(tmp_path / "in"))
     ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), docs.schema)
-    out = spark.read.parquet(str(tmp_path / "out"))
+    out = read_committed(spark, str(tmp_path / "out"))
     assert n <= 50 < out.count() and out.count() == out.select("id").distinct().count()
 
 
