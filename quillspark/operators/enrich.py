@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-
-#: Rows up to which a dimension is broadcast; beyond, the join shuffles.
-DIMENSION_ROWS = 1_000_000
-
+from .sizes import checked_broadcast
 
 def dimension(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= DIMENSION_ROWS else df
+    """df marked for broadcast if its bytes allow it; beyond, the join shuffles."""
+    return checked_broadcast(df)
 
 
 def filled(*cols: Column) -> Column:
@@ -103,16 +100,6 @@ def picked(picks: DataFrame, known: DataFrame, key: str, k: int) -> DataFrame:
     return real.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "rank")
 
 
-def char_batches(rows: DataFrame, order: str, text: Column, most_rows: int, most_chars: int) -> DataFrame:
-    """A batch number for every row: blocks of most_rows rows in order, each cut again wherever its running length passes a
-    multiple of most_chars, so that no batch has more rows and none but a single long text many more characters."""
-    from .records import batches
-
-    w = Window.partitionBy("batch_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    cut = batches(rows.withColumn("__len", F.length(text)), order, most_rows)
-    return cut.withColumn("part", F.floor((F.sum("__len").over(w) - F.col("__len")) / most_chars).cast("long")).drop("__len")
-
-
 def relevant_sources(rows: DataFrame, hay: Column, terms: Column, top: int = 3) -> DataFrame:
     """(query_id, relevant): how many of a query's first sources hold any of its terms."""
     hit = F.exists(terms, lambda t: F.contains(F.lower(hay), t))

@@ -23,12 +23,15 @@ class Generator(Protocol):
 
 
 def hashed_embedding(text: Column, dims: int = 64, seed: int = 7) -> Column:
-    """Unit-length signed sums of hashed words."""
-    ws = T.tokens(text)
+    """Unit-length signed sums of hashed words: every word is hashed once, then the signs are summed by place."""
     place = lambda w: F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(dims))
     sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(seed + 1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.when(place(w) == k, sign(w)).otherwise(0.0)))
-    return F.aggregate(F.array(raw), F.array().cast("array<double>"), lambda _, v: F.transform(v, lambda x: F.when(F.exists(v, lambda y: y != 0), x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))).otherwise(0.0)))
+    hashed = F.transform(T.tokens(text), lambda w: F.struct(place(w).alias("p"), sign(w).alias("s")))
+    sums = lambda ws: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(ws, lambda w: w.p == k), F.lit(0.0), lambda s, w: s + w.s))
+    # an aggregate over one element binds a name, so that hashes and sums are made once
+    raw = F.aggregate(F.array(hashed), F.array().cast("array<double>"), lambda _, ws: sums(ws))
+    unit = lambda v: F.aggregate(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))), v, lambda _, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return F.aggregate(F.array(raw), F.array().cast("array<double>"), lambda _, v: unit(v))
 
 
 def overlap_mark(query: Column, text: Column) -> Column:
@@ -38,7 +41,8 @@ def overlap_mark(query: Column, text: Column) -> Column:
 
 
 def embed_unique(docs: DataFrame, text_col: str, embedder: Embedder = hashed_embedding) -> DataFrame:
-    """docs with ``embedding``: every distinct text embedded once and joined back by its hash."""
-    key = F.xxhash64(text_col)
-    unique = docs.select(key.alias("__k"), F.col(text_col).alias("__t")).dropDuplicates(["__k"]).select("__k", embedder(F.col("__t")).alias("embedding"))
-    return docs.withColumn("__k", key).join(unique, "__k").drop("__k")
+    """docs with ``embedding``: every distinct text embedded once and joined back by 128 bits of its hash; a null text has none."""
+    key = F.unhex(F.md5(F.col(text_col)))
+    unique = docs.where(F.col(text_col).isNotNull()).select(key.alias("__k"), F.col(text_col).alias("__t")).groupBy("__k").agg(F.first("__t").alias("__t"))
+    unique = unique.select("__k", embedder(F.col("__t")).alias("embedding"))
+    return docs.withColumn("__k", key).join(unique, "__k", "left").drop("__k")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import lexical as L
+from ..operators import models as M
 from ..operators import records as R
 from ..operators import routing as O
 from ..operators import tree as X
@@ -46,9 +48,15 @@ def dedupe_whitespace(spark, d):
     return R.keep_first(_docs(spark, d), key, ["doc_id"]).select("doc_id")
 
 
-@query("SELECT count(*) AS texts, count(DISTINCT text) AS embedded, count(*) - count(DISTINCT text) AS saved FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN NULL WHEN len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: length(t) >= 2)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+ count(*) OVER (PARTITION BY text) AS copies FROM documents""")
 def embed_unique_texts(spark, d):
-    return _docs(spark, d).agg(F.count("*").alias("texts"), F.countDistinct("text").alias("embedded")).withColumn("saved", F.col("texts") - F.col("embedded"))
+    """Every distinct text sent once to the default model; the length of each row's vector, and how many rows share it."""
+    v = M.call(_docs(spark, d).select("doc_id", "text"), "text", "hashed vectors", M.HashedVectors, ST.ArrayType(ST.DoubleType()), out="v")
+    key = F.coalesce(F.md5("text"), F.lit(""))
+    shared = v.groupBy(key.alias("k")).agg(F.count("*").alias("copies"))
+    norm = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6)
+    return v.select("doc_id", norm.alias("norm"), key.alias("k")).join(shared, "k").select("doc_id", "norm", "copies")
 
 
 # ---- hierarchies -------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import enrich as E
+from ..operators import greedy
 from ..operators import lexical as L
 from ..operators import records as R
 from ..registry import query, table
@@ -214,10 +215,16 @@ def validated_picks(spark, d):
     return E.picked(picks, _docs(spark, d), "doc_id", 3)
 
 
-@query("WITH b AS (SELECT doc_id, length(text) AS l, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch_id FROM documents), c AS (SELECT doc_id, batch_id, ((sum(l) OVER (PARTITION BY batch_id ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - l) // 120000)::BIGINT AS part FROM b) SELECT batch_id, part, count(*) AS n FROM c GROUP BY 1, 2")
+@query("""WITH RECURSIVE r AS (SELECT doc_id, coalesce(length(text), 0) AS l, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
+b AS (SELECT pos, doc_id, 0::BIGINT AS batch_id, 1 AS n, l AS held FROM r WHERE pos = 1 UNION ALL
+ SELECT r.pos, r.doc_id, CASE WHEN b.n = 100 OR b.held + r.l > 120000 THEN b.batch_id + 1 ELSE b.batch_id END, CASE WHEN b.n = 100 OR b.held + r.l > 120000 THEN 1 ELSE b.n + 1 END,
+  CASE WHEN b.n = 100 OR b.held + r.l > 120000 THEN r.l ELSE b.held + r.l END FROM b JOIN r ON r.pos = b.pos + 1)
+SELECT batch_id, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM b GROUP BY 1""")
 def char_batches(spark, d):
-    b = E.char_batches(_docs(spark, d).select("doc_id", "text"), "doc_id", F.col("text"), 100, 120_000)
-    return b.groupBy("batch_id", "part").agg(F.count("*").alias("n"))
+    """Batches of at most 100 documents and 120,000 characters, cut greedily in the order of their ids."""
+    rows = _docs(spark, d).select("doc_id", F.length("text").alias("l"))
+    b = greedy.batches(rows, [F.col("doc_id").asc()], "l", most=100, limit=120_000)
+    return b.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
 @query(f"WITH {HIT_DOCS}, q AS (SELECT item_id AS query_id, {ASKED} AS terms FROM benchmark) SELECT query_id, count(*) FILTER (len(list_filter(terms, lambda x: contains(lower({Q} || ' ' || substr({A}, 1, 800) || ' ' || source), x))) > 0) AS relevant FROM hd JOIN q USING (query_id) WHERE rank <= 3 GROUP BY 1")

@@ -9,6 +9,7 @@ from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import gates as G
 from ..operators import impacts as I
+from ..operators import keywords as K
 from ..operators import lexical as L
 from ..operators import vector_index as V
 from ..registry import query, table
@@ -338,3 +339,25 @@ LANG_WORDS = [("en", "the"), ("de", "und"), ("fr", "et"), ("es", "los"), ("es",
 @query(rf"""SELECT item_id AS query_id, CASE """ + " ".join(f"WHEN {'contains(lower(text), ' + repr(w) + ')' if ' ' in w else 'list_contains(ts, ' + repr(w) + ')'} THEN '{g}'" for g, w in LANG_WORDS) + r""" END AS grp FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM benchmark)""")
 def group_detection(spark, d):
     return G.detect_group(table(spark, d, "benchmark"), "item_id", F.col("text"), LANG_WORDS)
+
+
+PAIRS = rf"""rl AS (SELECT p AS pattern, min(item_id)::VARCHAR AS value FROM (SELECT item_id, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS p FROM (SELECT item_id, string_split(lower(trim(text)), ' ') AS ts FROM benchmark))
+ WHERE regexp_matches(p, '^[\p{{L}}\p{{N}}_]+ [\p{{L}}\p{{N}}_]+$') GROUP BY 1)"""
+
+
+def _pair_rules(spark, d):
+    """Rules from a table: every two words of a benchmark passage, parted by one blank, name the first passage that has them."""
+    ts = F.split(F.lower(F.trim("text")), " ")
+    pairs = table(spark, d, "benchmark").select("item_id", ts.alias("ts")).where(F.size("ts") > 1)
+    pairs = pairs.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda i: F.concat_ws(" ", F.get("ts", i - 1), F.get("ts", i)))).alias("pattern"))
+    pairs = pairs.where(F.col("pattern").rlike(r"^[\p{L}\p{N}_]+ [\p{L}\p{N}_]+$"))
+    return pairs.groupBy("pattern").agg(F.min("item_id").cast("string").alias("value")).withColumn("priority", F.lit(0))
+
+
+@query(rf"""WITH {PAIRS}, s AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ ]', ' | ', 'g'), ' ') AS ts FROM documents),
+ dp AS (SELECT doc_id, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS pattern FROM s)
+SELECT doc_id, count(*) AS rules, sum(n)::BIGINT AS found FROM (SELECT doc_id, pattern, count(*) AS n FROM dp GROUP BY 1, 2) JOIN rl USING (pattern) GROUP BY 1""")
+def keyword_rules(spark, d):
+    """All rules against whole texts in one pass each: how many a document holds, and how often."""
+    found = K.matches(table(spark, d, "documents"), "doc_id", F.col("text"), _pair_rules(spark, d))
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("rules"), F.sum("n").alias("found"))
