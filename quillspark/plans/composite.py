@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import citations as S
 from ..operators import composites as M
 from ..operators import dense as D
 from ..operators import fusion as U
@@ -17,7 +18,7 @@ from ..registry import query, table
 from ..sources.sinks import written
 from . import retrieval as V
 from .content import LEVELS, NAV, NTERMS, TRIM
-from .corpus import A, Q
+from .corpus import A, Q, TOKENS
 from .retrieval import ANCH, CKEY, DEDUPED, FAST, FIELDS, FILTER, FULL, HYBRID, LANG_WORDS, MARKS, QUEST, STOPPED, WQ, _mm, _top
 
 
@@ -195,3 +196,47 @@ def summary_inputs(spark, d):
 def question_overfetch(spark, d):
     t = L.top(V.question_scores(spark, d), 4).join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
     return t.where("lang <> 'de'").select("query_id", "doc_id", "rank")
+
+
+# ---- retrieve, rerank, answer, cite as one path ------------------------------------------
+
+CITED = f"""WITH {TRUE_HYBRID}, {DEDUPED}, {_top('dd', 30, 't')}, {MARKED},
+pk AS (SELECT * FROM (SELECT query_id, doc_id, mark, row_number() OVER (PARTITION BY query_id ORDER BY mark DESC, score DESC, doc_id) AS place FROM om WHERE mark >= 0.2) WHERE place <= 3),
+src AS (SELECT query_id, place, doc_id, {Q} AS sentence, list_distinct({TOKENS}) AS has FROM pk JOIN documents USING (doc_id)),
+cm AS (SELECT query_id, place, sentence, CASE query_id % 4 WHEN 1 THEN place + 3 WHEN 3 THEN 4 - place ELSE place END AS m FROM src)"""
+
+
+def _answer_sources(spark, d):
+    """The three best of a pool of max(30, 3 k) hybrid hits after reranking."""
+    from ..operators.plugins import overlap_mark
+
+    hits = written(_hybrid(spark, d, max(30, 3 * 5)).select("query_id", "doc_id", "score", "rank"), "pool")
+    asked = _bench(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    marks = hits.select("query_id", "doc_id").join(asked, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id").select("query_id", "doc_id", overlap_mark(F.col("query"), F.col("text")).alias("mark"))
+    best = M.reranked(hits, marks, 30, 3, 0.2).select("query_id", "doc_id", F.col("rank").alias("place"))
+    t = F.col("text")
+    return best.join(_docs(spark, d).select("doc_id", "text", "source"), "doc_id").select("query_id", "place", "doc_id", F.concat_ws(" ", "source", "doc_id").alias("title"), "text", T.question_of(t).alias("sentence"))
+
+
+@query(f"{CITED} SELECT query_id, md5(string_agg(rtrim(sentence, ' ') || ' [' || place || ']', chr(10) ORDER BY place)) AS answer, string_agg(doc_id::VARCHAR, ',' ORDER BY place) AS sources FROM src GROUP BY 1")
+def reranked_answer(spark, d):
+    s = _answer_sources(spark, d)
+    given = s.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x.doc_id.cast("string")), ",").alias("sources"))
+    return S.cited_answer(s).join(given, "query_id").select("query_id", F.md5("answer").alias("answer"), "sources")
+
+
+@query(f"""{CITED}, mw AS (SELECT query_id, place, list_distinct({TOKENS.replace("lower(text)", "lower(sentence)")}) AS words, m FROM cm),
+mst AS (SELECT mw.query_id, m, CASE WHEN has IS NULL THEN 'unknown' WHEN len(words) > 0 AND len(list_intersect(words, has))::DOUBLE / len(words) < 0.5 THEN 'wrong' ELSE 'right' END AS state FROM mw LEFT JOIN src ON src.query_id = mw.query_id AND src.place = m WHERE mw.query_id % 4 <> 2),
+mc AS (SELECT query_id, count(*) AS n_marks, count(DISTINCT CASE WHEN state = 'right' THEN m END) AS cited, count(*) FILTER (state = 'unknown') AS unknown, count(*) FILTER (state = 'wrong') AS wrong FROM mst GROUP BY 1),
+nsr AS (SELECT query_id, count(*) AS n_sources FROM src GROUP BY 1),
+mj AS (SELECT query_id, n_sources, coalesce(n_marks, 0) AS n_marks, coalesce(cited, 0) AS cited, coalesce(unknown, 0) AS unknown, coalesce(wrong, 0) AS wrong FROM nsr LEFT JOIN mc USING (query_id))
+SELECT *, round(CASE WHEN n_marks = 0 THEN 0 ELSE 0.5 + 0.5 * cited / n_sources END, 3) AS citation_score,
+ array_to_string(list_filter([CASE WHEN n_marks = 0 THEN 'MISSING_CITATION' END, CASE WHEN n_marks > 0 AND cited < n_sources THEN 'PARTIAL_CITATION' END, CASE WHEN unknown > 0 THEN 'UNKNOWN_CITATION' END, CASE WHEN wrong > 0 THEN 'WRONG_CITATION' END], lambda x: x IS NOT NULL), ',') AS codes FROM mj""")
+def citation_report(spark, d):
+    """Answers whose marks are as they should be, out of range, left out or exchanged, by the query's id, against their own sources."""
+    s = _answer_sources(spark, d)
+    kind = F.pmod("query_id", F.lit(4))
+    moved = s.withColumn("place", F.when(kind == 1, F.col("place") + 3).when(kind == 3, 4 - F.col("place")).otherwise(F.col("place")))
+    answers = S.cited_answer(moved).withColumn("answer", F.when(F.pmod("query_id", F.lit(4)) == 2, F.regexp_replace("answer", r"\[[0-9]+\]", "")).otherwise(F.col("answer")))
+    done = S.checked(answers, s)
+    return done.select("query_id", "n_sources", "n_marks", "cited", "unknown", "wrong", "citation_score", F.array_join("codes", ",").alias("codes"))
