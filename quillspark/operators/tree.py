@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.sinks import written
+from .sizes import small
 
 
 def headings(pages: DataFrame, id_col: str, html: Column) -> DataFrame:
@@ -62,6 +64,41 @@ def navigate(terms: DataFrame, queries: DataFrame, query_id: str, query_text: Co
     return out
 
 
+def descend(terms: DataFrame, queries: DataFrame, query_id: str, query_text: Column, *, beam: int = 3) -> DataFrame:
+    """(query_id, level, path, hits, rank, via): the way of every query down a tree of any depth, ``beam`` nodes a level.
+
+    ``terms(path, level, term)``: the words under every node. A frontier of nodes is joined with its children, level by level; children are
+    ranked by how many of the query's words they have, ties by path. A query none of whose children has any goes on with the children of its frontier's
+    siblings (``via``: ``siblings``); if these have none either, its way ends."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(T.tokens(query_text, 3, T.STOP_WORDS))).alias("term")).where("term is not null")
+    asked = written(asked, "asked")
+    up = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    nodes = written(terms.select("path", "level").distinct().withColumn("up", up("path")).withColumn("upper", up("up")), "nodes")
+    depth = nodes.agg(F.max("level")).first()[0] or 0
+
+    def best(pairs: DataFrame, via: str) -> DataFrame:
+        """The beam among (query_id, path)."""
+        hits = pairs.join(terms, "path").join(asked, ["query_id", "term"]).groupBy("query_id", "level", "path").agg(F.count("*").alias("hits"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "path")
+        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).withColumn("via", F.lit(via))
+
+    top = nodes.where("level = 1").select("path")
+    frontier = written(best(asked.select("query_id").distinct().crossJoin(F.broadcast(top)), "beam"), "frontier") if depth and small(top) else None
+    if depth and frontier is None:
+        raise ValueError("a tree of so many roots needs a level above them")
+    out = frontier
+    for level in range(2, depth + 1):
+        here = nodes.where(F.col("level") == level)
+        own = written(best(here.join(frontier.select("query_id", F.col("path").alias("up")), "up").select("query_id", "path"), "beam"), "own")
+        stuck = frontier.join(own.select("query_id").distinct(), "query_id", "left_anti")
+        # siblings: whatever stands under the same node above (at the second level, all roots)
+        kin = stuck.select("query_id", up("path").alias("upper")).distinct()
+        other = written(best(here.join(kin, "upper").select("query_id", "path").distinct(), "siblings"), "siblings")
+        frontier = own.unionByName(other)
+        out = out.unionByName(frontier)
+    return out if out is not None else asked.select("query_id", F.lit(0).alias("level"), F.lit("").alias("path"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("rank"), F.lit("").alias("via")).limit(0)
+
+
 def assign_group(title: Column, groups: list[tuple[str, list[str]]]) -> Column:
     """The first group with a keyword in the title, else the last group."""
     out = F.lit(groups[-1][0])

@@ -8,6 +8,7 @@ from pyspark.sql import types as ST
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import lexical as L
+from ..operators import markdown as MD
 from ..operators import models as M
 from ..operators import records as R
 from ..operators import routing as O
@@ -99,6 +100,55 @@ def tree_navigation(spark, d):
     return X.navigate(terms, table(spark, d, "benchmark"), "item_id", F.col("text"))
 
 
+DEEP = ["lang", "source", "letter", "size"]
+_LETTER = "coalesce(nullif(lower(substr(trim(text), 1, 1)), ''), '-')"
+_SIZE = "CASE WHEN length(text) < 300 THEN 'short' WHEN length(text) < 3000 THEN 'middle' ELSE 'long' END"
+
+
+def _descent(beam: int = 2) -> str:
+    """A tree of four levels: one CTE for each level's own children, one for those of the siblings."""
+    paths = ["lang", "lang || '/' || source", "lang || '/' || source || '/' || letter", "lang || '/' || source || '/' || letter || '/' || size"]
+    ctes = [
+        f"dt0 AS (SELECT DISTINCT lang, source, {_LETTER} AS letter, {_SIZE} AS size, unnest(list_filter({STOPPED % Q}, lambda t: length(t) >= 3)) AS term FROM documents WHERE text IS NOT NULL)",
+        "dt AS (" + " UNION ".join(f"SELECT {p} AS path, {k} AS level, term FROM dt0" for k, p in enumerate(paths, 1)) + ")",
+        f"aq AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({STOPPED % 'text'}, lambda t: length(t) >= 3))) AS term FROM benchmark)",
+        "hh AS (SELECT query_id, level, path, count(*) AS hits FROM dt JOIN aq USING (term) GROUP BY 1, 2, 3)",
+        f"w1 AS (SELECT *, 'beam' AS via FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, path) AS rank FROM hh WHERE level = 1) WHERE rank <= {beam})",
+    ]
+    up = lambda c: f"regexp_extract({c}, '^(.*)/[^/]*$', 1)"
+    for k in range(2, 5):
+        rank = f"row_number() OVER (PARTITION BY h.query_id ORDER BY h.hits DESC, h.path) AS rank FROM hh h SEMI JOIN"
+        ctes.append(f"o{k} AS (SELECT *, 'beam' AS via FROM (SELECT h.*, {rank} w{k - 1} f ON f.query_id = h.query_id AND f.path = {up('h.path')} WHERE h.level = {k}) WHERE rank <= {beam})")
+        ctes.append(f"k{k} AS (SELECT DISTINCT query_id, {up('path')} AS upper FROM w{k - 1} WHERE query_id NOT IN (SELECT query_id FROM o{k}))")
+        ctes.append(f"x{k} AS (SELECT *, 'siblings' AS via FROM (SELECT h.*, {rank} k{k} f ON f.query_id = h.query_id AND f.upper = {up(up('h.path'))} WHERE h.level = {k}) WHERE rank <= {beam})")
+        ctes.append(f"w{k} AS (SELECT * FROM o{k} UNION ALL SELECT * FROM x{k})")
+    return f"WITH {', '.join(ctes)} SELECT query_id, level, path, hits, rank, via FROM (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, 5)) + ")"
+
+
+@query(_descent())
+def deep_descent(spark, d):
+    t = F.col("text")
+    size = F.when(F.length(t) < 300, "short").when(F.length(t) < 3000, "middle").otherwise("long")
+    letter = F.coalesce(F.nullif(F.lower(F.substring(F.trim(t), 1, 1)), F.lit("")), F.lit("-"))
+    terms = X.node_terms(_docs(spark, d).where("text is not null").withColumns({"letter": letter, "size": size}), DEEP, T.question_of(t))
+    return X.descend(terms, table(spark, d, "benchmark"), "item_id", t, beam=2)
+
+
+@query(r"""WITH p AS (SELECT doc_id AS id, string_split(text, '. ') AS ps FROM documents WHERE text IS NOT NULL), l AS (SELECT id, i - 1 AS i, replace(ps[i], chr(10), ' ') AS s FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+ m AS (SELECT id, i + 1 AS line, CASE WHEN i % 11 = 3 THEN '```' WHEN i % 4 = 0 THEN repeat('#', (1 + i // 4 % 3)::INT) || ' ' || s ELSE s END AS text FROM l),
+ f AS (SELECT *, sum((starts_with(text, '```'))::INT) OVER (PARTITION BY id ORDER BY line) % 2 AS inside FROM m),
+ h AS (SELECT *, CASE WHEN inside = 0 AND NOT starts_with(text, '```') AND regexp_matches(trim(text), '^#{1,6}\s+.+$') THEN line END AS own FROM f),
+ b AS (SELECT *, max(own) OVER (PARTITION BY id ORDER BY line) AS head FROM h)
+SELECT id, head AS line, max(length(regexp_extract(trim(text), '^(#{1,6})\s', 1))) FILTER (own IS NOT NULL) AS level, md5(trim(string_agg(text, chr(10) ORDER BY line), chr(10) || ' ')) AS body FROM b WHERE head IS NOT NULL GROUP BY 1, 2""")
+def markdown_sections(spark, d):
+    """Documents as markdown, a sentence a line, some as headings and some as fences, in splits of seven lines."""
+    p = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
+    s = F.replace("s", F.lit("\n"), F.lit(" "))
+    line = F.when(F.col("i") % 11 == 3, "```").when(F.col("i") % 4 == 0, F.concat(F.repeat(F.lit("#"), (1 + F.floor(F.col("i") / 4) % 3).cast("int")), F.lit(" "), s)).otherwise(s)
+    rows = p.select("id", F.floor(F.col("i") / 7).alias("block"), F.col("i").alias("at"), line.alias("text"))
+    return MD.sections(rows).select("id", "line", "level", F.md5(F.regexp_replace("body", "^[\n ]+|[\n ]+$", "")).alias("body"))
+
+
 SUBGROUPS = [("articles", ["the", "der", "le ", "el "]), ("joins", ["and", "und", " et ", " y "]), ("other", ["zzz"])]
 
 
