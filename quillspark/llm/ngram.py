@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CRC_SQL, Scratch, crc32_sql
-from .words import combine, counted, slices, words_of
+from .words import combine, counted, distinct_of, slices, words_of
 
 ORDER = 2
 #: Tokens for a bucket of n-grams, about; distinct n-grams that a task gathers before it sends them.
@@ -137,9 +137,10 @@ class Arrays:
         return self.held[bucket]
 
     def find(self, keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which keys there are, and the values of each (0 where there are none)."""
+        """Which of the ascending keys there are, and the values of each (0 where there are none)."""
         hit, values = np.zeros(len(keys), bool), [np.zeros(len(keys)) for _ in self.columns]
-        order = np.lexsort((keys, bucket))
+        small = bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket
+        order = np.argsort(small, kind="stable")  # keys stay in order within a bucket
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
         for at in np.split(order, edges) if len(order) else []:
             arrays = self._bucket(int(bucket[at[0]]))
@@ -183,16 +184,15 @@ class Model:
         return n, np.where(hit, p, self.unseen)
 
     def probability(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Of the last word of each n-gram after the others; each distinct n-gram is looked up once at its order."""
+        """Of the last word of each n-gram after the others. The n-grams are distinct and ascend by their hash (one word: by itself)."""
         if len(columns) == 1:
             return self.word(columns[0])[1]
         k, d = len(columns), np.array([0.0, *self.discounts[len(columns)]])
-        short = combine(columns[1:])
-        distinct, place, _ = counted(short)
-        lower = self.probability([c[place] for c in columns[1:]])[np.searchsorted(distinct, short)]
+        _, place, where = distinct_of(combine(columns[1:]) if k > 2 else columns[1])
+        lower = self.probability([c[place] for c in columns[1:]])[where]
         _, (n,) = self.grams[k].find(combine(columns), bucket_of(columns, self.buckets, self.hot))
-        context = combine(columns[:-1])
-        known, (total, gamma) = self.contexts[k].find(context, (context % np.uint64(self.buckets)).astype(np.int32))
+        context, _, where = distinct_of(combine(columns[:-1]))
+        known, (total, gamma) = (x[where] if isinstance(x, np.ndarray) else [v[where] for v in x] for x in self.contexts[k].find(context, (context % np.uint64(self.buckets)).astype(np.int32)))
         own = np.maximum(n - d[np.minimum(n, 3).astype(np.int64)], 0) / np.where(known, total, 1)
         return np.where(known, own + gamma * lower, lower)
 
@@ -201,12 +201,11 @@ class Model:
         if not len(first):
             return {k: np.empty(0, t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
         h = columns[-1]
-        distinct, place, _ = counted(h)
-        n = self.word(distinct)[0][at := np.searchsorted(distinct, h)]
-        base = np.log10((n + 1) / (self.total + self.distinct + 1))
-        key = combine(columns)
-        distinct, place, _ = counted(key)
-        p = np.log10(self.probability([c[place] for c in columns]))[np.searchsorted(distinct, key)]
+        distinct, _, where = distinct_of(h)
+        n = self.word(distinct)[0]
+        base, n = np.log10((n + 1) / (self.total + self.distinct + 1))[where], n[where]
+        _, place, where = distinct_of(combine(columns))
+        p = np.log10(self.probability([c[place] for c in columns]))[where]
         add = lambda x: np.add.reduceat(x.astype(np.longdouble), first).astype(float)
         return {"n_tokens": np.diff(np.append(first, len(h))), "n_known": np.add.reduceat((n > 0).astype(np.int64), first), "base_score": add(base), "score": add(p)}
 

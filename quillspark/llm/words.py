@@ -132,3 +132,15 @@ def counted(h: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarra
     head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     n = np.diff(np.append(head, len(s))) if weights is None else np.add.reduceat(weights[order], head)
     return s[head], order[head], n.astype(np.int64)
+
+
+def distinct_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of h in order, the place of one of each in h, and for each of h where its value is among them."""
+    if not len(h):
+        return h, np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    where = np.empty(len(h), np.int64)
+    where[order] = np.cumsum(first) - 1
+    return s[first], order[first], where
