@@ -66,7 +66,7 @@ def test_dense_blocks_agree(spark, monkeypatch):
     a = sorted(map(tuple, dense.search(v, v.where("vec_id < 9"), 3).collect()))
     monkeypatch.setattr(dense, "VECTORS", 7)
     monkeypatch.setattr(dense, "QUERIES", 4)
-    monkeypatch.setattr(dense, "BROADCAST_BLOCKS", 1)
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 100)
     assert sorted(map(tuple, dense.search(v, v.where("vec_id < 9"), 3).collect())) == a
 
 
