@@ -12,6 +12,7 @@ from ..operators import greedy
 from ..operators import lexical as L
 from ..operators import records as R
 from ..registry import query, table
+from ..sources.sinks import written
 from . import retrieval as V
 from .corpus import A, Q, RECORDS, WORDS
 from .retrieval import FULL, STOPPED, _top
@@ -89,10 +90,13 @@ def source_cards(spark, d):
     return rows.select("query_id", "doc_id", *[(F.md5(c) if n in ("question", "answer") else c).alias(n) for n, c in card.items()])
 
 
-@query(f"WITH {RECORDS} SELECT doc_id, 'rec:' || id AS leaf, coalesce(r.id, 'missing') AS record FROM documents LEFT JOIN rec r USING (doc_id)".replace("'rec:' || id AS leaf", "md5(doc_id::VARCHAR) AS leaf"))
+@query(f"WITH {RECORDS}, lk AS (SELECT id, category, md5(question) AS q FROM rec WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT r.id AS leaf, coalesce(lk.category, 'missing') AS category, lk.q AS question FROM rec r LEFT JOIN lk USING (id)")
 def lookup_leaves(spark, d):
-    rec = R.unified(_docs(spark, d)).select("doc_id", "id")
-    return _docs(spark, d).select("doc_id").join(rec, "doc_id", "left").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("leaf"), F.coalesce("id", F.lit("missing")).alias("record"))
+    """Leaves of the tree, the ids of all records, with what a lookup of the good ones holds of them; a leaf that it lacks stays."""
+    rec = R.unified(_docs(spark, d))
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    lookup = rec.join(good, "doc_id", "left_semi").select(F.col("id").alias("leaf"), "category", F.md5("question").alias("question"))
+    return rec.select(F.col("id").alias("leaf")).join(lookup, "leaf", "left").select("leaf", F.coalesce("category", F.lit("missing")).alias("category"), "question")
 
 
 @query(f"WITH {RECORDS} SELECT id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Q: ' || question || ' A: ' || answer END) AS body, category FROM rec")
@@ -237,11 +241,13 @@ def source_relevance(spark, d):
 # ---- texts -------------------------------------------------------------------------------
 
 
-@query(rf"SELECT doc_id, md5(array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), '|')) AS pairs FROM (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT doc_id, list_slice(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2), 1, 60) AS w FROM documents))")
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2) AS w FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g, unnest(range(1, len(w))) AS i FROM w), f AS (SELECT doc_id, g, min(i) AS i FROM p GROUP BY 1, 2),
+a AS (SELECT doc_id, string_agg(g, '|' ORDER BY i) AS s FROM f GROUP BY 1) SELECT doc_id, CASE WHEN w IS NOT NULL THEN md5(coalesce(s, '')) END AS pairs FROM w LEFT JOIN a USING (doc_id)""")
 def ordered_bigrams(spark, d):
     # the words in a column of their own: inside the pairs' function they would be split again for every pair
-    rows = _docs(spark, d).select("doc_id", F.slice(T.tokens(F.col("text")), 1, 60).alias("w"))
-    return rows.select("doc_id", F.md5(F.array_join(T.bigrams(F.col("w")), "|")).alias("pairs"))
+    rows = _docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.when(F.col("w").isNotNull(), F.md5(F.array_join(T.bigrams(F.col("w")), "|"))).alias("pairs"))
 
 
 @query(f"WITH {RECORDS}, b AS (SELECT item_id AS doc_id, text AS query FROM benchmark) SELECT doc_id, md5(CASE WHEN coalesce(query, '') = '' OR query = question THEN question WHEN question = '' THEN query ELSE query || chr(10) || question END) AS target FROM rec LEFT JOIN b USING (doc_id)")
@@ -319,9 +325,12 @@ def synonyms_by_table(spark, d):
     return E.expand_by_table(terms, groups)
 
 
-@query(rf"SELECT item_id AS query_id, md5(array_to_string(list_transform(w, lambda x: CASE lower(x) WHEN 'the' THEN 'der' WHEN 'and' THEN 'und' ELSE x END), ' ')) AS mapped FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0")
+@query(rf"""WITH w AS (SELECT item_id, {WORDS} AS w FROM benchmark), m AS (SELECT lower(w[1]) AS src, min(lower(w[len(w)])) AS dst FROM w WHERE len(w) > 0 GROUP BY 1),
+t AS (SELECT item_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) SELECT item_id AS query_id, md5(string_agg(coalesce(dst, x), ' ' ORDER BY i)) AS mapped FROM t LEFT JOIN m ON lower(x) = src GROUP BY 1""")
 def map_by_table(spark, d):
-    mapping = spark.range(1).select(F.explode(F.create_map(F.lit("the"), F.lit("der"), F.lit("and"), F.lit("und"))).alias("src", "dst"))
+    """A table that maps each passage's first word to its last, over all passages."""
+    w = _bench(spark, d).select(T.words(F.col("query")).alias("w")).where(F.size("w") > 0)
+    mapping = w.groupBy(F.lower(F.get("w", F.lit(0))).alias("src")).agg(F.min(F.lower(F.element_at("w", -1))).alias("dst"))
     return E.map_by_table(_bench(spark, d), "query_id", F.col("query"), mapping).select("query_id", F.md5("mapped").alias("mapped"))
 
 
@@ -331,11 +340,20 @@ def expansion_cleanup(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(C.clean_expansion(F.col("text"), F.slice(raw, 1, 10), 4, 16), " ").alias("added"))
 
 
-@query(r"SELECT item_id, array_to_string(w, ' ') AS stripped FROM (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 8) AS w FROM benchmark)")
+@query(rf"""WITH t0 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2) AS w FROM benchmark), t AS (SELECT DISTINCT query_id, unnest(w) AS term FROM t0),
+df AS (SELECT term, min(query_id) AS grp, count(*) AS n FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3), h AS (SELECT DISTINCT query_id, grp FROM t JOIN df USING (term)),
+x AS (SELECT DISTINCT h.query_id, df.term FROM h JOIN df USING (grp) ANTI JOIN t ON t.query_id = h.query_id AND t.term = df.term), c AS (SELECT query_id, count(*) AS added FROM x GROUP BY 1)
+SELECT query_id, coalesce(added, 0) AS added, md5(array_to_string(w, ' ')) AS stripped FROM t0 LEFT JOIN c USING (query_id)""")
 def strip_added_terms(spark, d):
-    w = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0)), 1, 8)
-    added = F.array(F.lit("zzadded"), F.lit("zzmore"))
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.strip_trailing(F.concat(w, added), added), " ").alias("stripped"))
+    """Queries expanded by a table of groups (rare words that occur together first in one passage), and the query for the reranker, without what
+    was added."""
+    own = written(_bench(spark, d).select("query_id", T.tokens(F.col("query")).alias("w")), "own")
+    terms = own.select("query_id", F.explode("w").alias("term")).distinct()
+    groups = terms.groupBy("term").agg(F.min("query_id").alias("grp"), F.count("*").alias("n")).where("n between 2 and 3").select("grp", F.col("term").alias("member"))
+    more = E.expand_by_table(terms, groups).join(terms, ["query_id", "term"], "left_anti").groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("plus"))
+    both = own.join(more, "query_id", "left").withColumn("plus", F.coalesce("plus", F.array().cast("array<string>")))
+    expanded = both.withColumn("expanded", F.concat("w", "plus"))
+    return expanded.select("query_id", F.size("plus").cast("long").alias("added"), F.md5(F.array_join(T.strip_trailing(F.col("expanded"), F.col("plus")), " ")).alias("stripped"))
 
 
 # ---- scorers -----------------------------------------------------------------------------
