@@ -35,7 +35,7 @@ from .words import combine, counted, distinct_of, slices, words_of
 
 ORDER = 2
 #: Tokens for a bucket of n-grams, about; distinct n-grams that a task gathers before it sends them.
-BUCKET, GATHER = 1 << 21, 1 << 22
+BUCKET, GATHER = 1 << 21, 1 << 20
 #: A word is hot with more than this part of all tokens.
 HOT = 1024
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -272,6 +272,7 @@ def train(docs: DataFrame, text_col: str = "text", *, order: int = ORDER, bucket
             for part in slices(batch, 0):
                 columns = tokens_of(part.column(0), order)[1]
                 held.append(summed([Counted(columns, np.ones(len(columns[0]), np.int64))]))
+                del columns
                 if len(held) > 1 and len(held[0].n) < 4 * len(held[-1].n):
                     held[:] = [summed(held)]
                 if sum(len(h.n) for h in held) >= GATHER:
