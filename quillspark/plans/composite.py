@@ -41,10 +41,12 @@ g4 AS (SELECT query_id, doc_id, mode, mark, row_number() OVER (PARTITION BY quer
 
 
 def _path(spark, d):
-    docs, bench = _docs(spark, d).select("doc_id", "text", "source"), _bench(spark, d)
+    docs, bench = _docs(spark, d), _bench(spark, d)
     grp = docs.select("source", F.concat(F.lit("g"), (F.substring("source", 4, 9).cast("int") % 3).cast("string")).alias("grp")).distinct()
     wanted = bench.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string"))).alias("wanted"))
-    return M.fast_retrieve(V.fast(spark, d), docs, bench, "item_id", F.col("text"), grp, wanted, V.marks(spark, d), cut=lambda df: written(df, "fast"))
+    combined = written(V.fast(spark, d), "fast")
+    texts = V.hit_texts(spark, d, combined, "text", "source")
+    return M.fast_retrieve(combined, texts, bench, "item_id", F.col("text"), grp, wanted, V.marks(spark, d), cut=lambda df: written(df, "fast"))
 
 
 @query(f"WITH {PATH} SELECT query_id, doc_id, mode, mark, rank FROM g4 WHERE rank <= 6")
@@ -67,13 +69,13 @@ def _lang(spark, d):
 @query(f"WITH {FULL}, {_top('sc', 200, 'p')}, {WANTED}, x AS (SELECT p.query_id, doc_id, score, lang AS grp, wanted FROM p JOIN documents USING (doc_id) LEFT JOIN wl USING (query_id) WHERE wanted IS NULL OR lang = wanted), {_top('x', 5, 't')} SELECT query_id, doc_id, grp, coalesce(wanted, 'all') AS wanted, rank FROM t")
 def group_dispatch(spark, d):
     wanted = G.detect_group(_bench(spark, d), "item_id", F.col("text"), LANG_WORDS).withColumnRenamed("grp", "wanted")
-    done = M.dispatch(L.top(V.full_scores(spark, d), 200).drop("rank"), _lang(spark, d), wanted, 5)
+    done = M.dispatch(V.full_top(spark, d, 200).drop("rank"), _lang(spark, d), wanted, 5)
     return done.select("query_id", "doc_id", "grp", F.coalesce("wanted", F.lit("all")).alias("wanted"), "rank")
 
 
 @query(f"WITH {FULL}, {_top('sc', 200, 'p')}, x AS (SELECT query_id, lang AS grp, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS rank FROM p JOIN documents USING (doc_id)) SELECT query_id, grp, doc_id, rank FROM x WHERE rank <= 3")
 def all_groups(spark, d):
-    return M.by_group(L.top(V.full_scores(spark, d), 200).drop("rank"), _lang(spark, d), 3).select("query_id", "grp", "doc_id", "rank")
+    return M.by_group(V.full_top(spark, d, 200).drop("rank"), _lang(spark, d), 3).select("query_id", "grp", "doc_id", "rank")
 
 
 @query(f"""WITH {FIELDS}, {WQ}, x AS (SELECT query_id, lang AS grp, doc_id, percent, row_number() OVER (PARTITION BY query_id, lang ORDER BY percent DESC, doc_id) AS r FROM wp JOIN documents USING (doc_id))
@@ -95,9 +97,9 @@ om AS (SELECT t.query_id, doc_id, score, CASE WHEN len(qw) > 0 THEN round(len(li
 def rerank_listwise(spark, d):
     from ..operators.plugins import overlap_mark
 
-    hits = L.top(V.full_scores(spark, d), 12)
+    hits = V.full_top(spark, d, 12)
     asked = _bench(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    marks = hits.select("query_id", "doc_id").join(asked, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id").select("query_id", "doc_id", overlap_mark(F.col("query"), F.col("text")).alias("mark"))
+    marks = V.of_docs(spark, d, hits.select("query_id", "doc_id"), "text").join(asked, "query_id").select("query_id", "doc_id", overlap_mark(F.col("query"), F.col("text")).alias("mark"))
     return M.reranked(hits, marks, 12, 5, 0.2).select("query_id", "doc_id", "mark", "rank")
 
 
@@ -121,8 +123,8 @@ def _dense(spark, d):
 
 
 def _hybrid(spark, d, k):
-    rows = U.weighted(_dense(spark, d), L.top(V.full_scores(spark, d), 30), L.top(V.question_scores(spark, d), 30)).select("query_id", "doc_id", "score")
-    rows = rows.join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    rows = U.weighted(written(_dense(spark, d), "dense"), V.full_top(spark, d, 30), V.question_top(spark, d, 30)).select("query_id", "doc_id", "score")
+    rows = V.of_docs(spark, d, written(rows, "hybrid"), "text")
     return L.top(U.dedupe(rows, T.content_key(F.col("text"))), k)
 
 
@@ -168,7 +170,7 @@ def guarded_rag(spark, d):
 
 @query(f"WITH {FULL}, {_top('sc', 10, 'p')}, x AS (SELECT query_id, doc_id, score, lang = 'fr' AS k, max((lang = 'fr')::INT) OVER (PARTITION BY query_id) AS h FROM p JOIN documents USING (doc_id)), y AS (SELECT query_id, doc_id, score FROM x WHERE h = 0 OR k), {_top('y', 3, 't')} SELECT query_id, doc_id, rank FROM t")
 def filtered_or_all(spark, d):
-    rows = L.top(V.full_scores(spark, d), 10).drop("rank").join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
+    rows = V.of_docs(spark, d, V.full_top(spark, d, 10).drop("rank"), "lang")
     return M.filtered_or_all(rows, F.col("lang") == "fr", 3).select("query_id", "doc_id", "rank")
 
 
@@ -182,7 +184,7 @@ def tree_descent(spark, d):
 
 @query(f"WITH {FULL}, {_top('sc', 5, 't')} SELECT query_id, arg_max(doc_id, score * 1000000 - rank) AS doc_id, md5(substr(arg_max({A}, score * 1000000 - rank), 1, 300)) AS answer FROM t JOIN documents USING (doc_id) GROUP BY 1")
 def best_block(spark, d):
-    rows = L.top(V.full_scores(spark, d), 5).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    rows = V.of_docs(spark, d, V.full_top(spark, d, 5), "text")
     best = F.max_by(F.struct("doc_id", T.answer_of(F.col("text")).alias("a")), F.col("score") * 1_000_000 - F.col("rank"))
     return rows.groupBy("query_id").agg(best.alias("x")).select("query_id", "x.doc_id", F.md5(F.substring("x.a", 1, 300)).alias("answer"))
 
@@ -194,7 +196,7 @@ def summary_inputs(spark, d):
 
 @query(f"WITH {QUEST}, {_top('(SELECT * FROM qsc WHERE score > 0)', 4, 't')} SELECT query_id, doc_id, rank FROM t JOIN documents USING (doc_id) WHERE lang <> 'de'")
 def question_overfetch(spark, d):
-    t = L.top(V.question_scores(spark, d), 4).join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
+    t = V.of_docs(spark, d, V.question_top(spark, d, 4), "lang")
     return t.where("lang <> 'de'").select("query_id", "doc_id", "rank")
 
 
@@ -212,10 +214,10 @@ def _answer_sources(spark, d):
 
     hits = written(_hybrid(spark, d, max(30, 3 * 5)).select("query_id", "doc_id", "score", "rank"), "pool")
     asked = _bench(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    marks = hits.select("query_id", "doc_id").join(asked, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id").select("query_id", "doc_id", overlap_mark(F.col("query"), F.col("text")).alias("mark"))
+    marks = V.of_docs(spark, d, hits.select("query_id", "doc_id"), "text").join(asked, "query_id").select("query_id", "doc_id", overlap_mark(F.col("query"), F.col("text")).alias("mark"))
     best = M.reranked(hits, marks, 30, 3, 0.2).select("query_id", "doc_id", F.col("rank").alias("place"))
     t = F.col("text")
-    return best.join(_docs(spark, d).select("doc_id", "text", "source"), "doc_id").select("query_id", "place", "doc_id", F.concat_ws(" ", "source", "doc_id").alias("title"), "text", T.question_of(t).alias("sentence"))
+    return V.of_docs(spark, d, written(best, "best"), "text", "source").select("query_id", "place", "doc_id", F.concat_ws(" ", "source", "doc_id").alias("title"), "text", T.question_of(t).alias("sentence"))
 
 
 @query(f"{CITED} SELECT query_id, md5(string_agg(rtrim(sentence, ' ') || ' [' || place || ']', chr(10) ORDER BY place)) AS answer, string_agg(doc_id::VARCHAR, ',' ORDER BY place) AS sources FROM src GROUP BY 1")

@@ -27,7 +27,7 @@ def _bench(spark, d):
 
 
 def _hits(spark, d, k):
-    return L.top(V.full_scores(spark, d), k)
+    return V.full_top(spark, d, k)
 
 
 def _asked(text):
@@ -84,7 +84,7 @@ def id_fanout(spark, d):
  FROM t JOIN documents d USING (doc_id) LEFT JOIN pages p ON p.page_id = t.doc_id""")
 def source_cards(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    rows = _hits(spark, d, 5).join(_docs(spark, d).select("doc_id", "text"), "doc_id").join(E.dimension(pages), "doc_id", "left")
+    rows = V.of_docs(spark, d, _hits(spark, d, 5), "text").join(E.dimension(pages), "doc_id", "left")
     t = F.col("text")
     card = E.source_card([F.lit(""), F.col("url")], T.question_of(t), T.answer_of(t), F.col("score") / 100)
     return rows.select("query_id", "doc_id", *[(F.md5(c) if n in ("question", "answer") else c).alias(n) for n, c in card.items()])
@@ -121,7 +121,7 @@ HIT_DOCS = f"{FULL}, {_top('sc', 60, 't')}, hd AS (SELECT t.*, lang, source, tex
 
 
 def _hit_docs(spark, d, k=60):
-    return _hits(spark, d, k).join(_docs(spark, d).select("doc_id", "lang", "source", "text"), "doc_id")
+    return V.of_docs(spark, d, _hits(spark, d, k), "lang", "source", "text")
 
 
 @query(f"WITH {HIT_DOCS} SELECT query_id, doc_id, rank FROM hd WHERE lang = 'en' AND rank <= 30")

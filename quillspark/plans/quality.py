@@ -54,8 +54,8 @@ MM = "mm AS (SELECT query_id, doc_id, CASE WHEN hi > lo THEN (score - lo) / (hi
 def _contexts(spark, d):
     from ..operators.fusion import min_max
 
-    hits = min_max(L.top(V.full_scores(spark, d), 5)).select("query_id", "doc_id", F.col("norm").alias("score"))
-    return G.context_guards(hits.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+    hits = min_max(V.full_top(spark, d, 5)).select("query_id", "doc_id", F.col("norm").alias("score"))
+    return G.context_guards(V.of_docs(spark, d, hits, "text"))
 
 
 @query(f"WITH {FULL}, {_top('sc', 5, 't')}, {MM} SELECT query_id, f >= 1 AND m >= 0.1 AS passed, CASE WHEN f >= 1 AND m >= 0.1 THEN 'ok' WHEN f < 1 THEN 'no_chunks' ELSE 'low_mean' END AS reason FROM cg")
@@ -127,7 +127,7 @@ def _evaluated(spark, d):
     t = F.lower("text")
     wanted = F.when(t.rlike(r"\b(und|der|die|sch)\b"), "de").when(t.rlike(r"\b(et|les|le)\b"), "fr").when(t.rlike(r"\b(los|las|el)\b"), "es").otherwise("en")
     truth = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), wanted.alias("wanted"))
-    hits = L.top(V.full_scores(spark, d), 5).join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), "doc_id")
+    hits = V.of_docs(spark, d, V.full_top(spark, d, 5), F.col("lang").alias("label"))
     return G.evaluate(hits, truth)
 
 
@@ -145,5 +145,5 @@ def eval_summary(spark, d):
 k1 AS (SELECT query_id, keyword, max(contains(lower(text), keyword)::INT) AS hit FROM t JOIN documents USING (doc_id) JOIN kw USING (query_id) GROUP BY 1, 2) SELECT query_id, count(*) AS n_keywords, sum(hit)::BIGINT AS n_found, round(avg(hit), 6) AS coverage FROM k1 GROUP BY 1""")
 def eval_keyword_hits(spark, d):
     kw = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.ordered_unique(T.tokens(F.col("text"), 5), 5)).alias("keyword"))
-    hits = L.top(V.full_scores(spark, d), 5).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    hits = V.of_docs(spark, d, V.full_top(spark, d, 5), "text")
     return G.keyword_hits(hits, kw, F.col("text"))
