@@ -129,6 +129,8 @@ class HashedVectors:
             if words:
                 place, sign = zip(*words)
                 np.add.at(v, list(place), sign)
+                if not v.any():  # words that cancel out are counted without their signs
+                    np.add.at(v, list(place), 1.0)
             length = np.sqrt((v * v).sum())
             out.append((v / length if length > 0 else v).tolist())
         return out

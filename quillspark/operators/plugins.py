@@ -23,13 +23,15 @@ class Generator(Protocol):
 
 
 def hashed_embedding(text: Column, dims: int = 64, seed: int = 7) -> Column:
-    """Unit-length signed sums of hashed words: every word is hashed once, then the signs are summed by place."""
+    """Unit-length signed sums of hashed words: every word is hashed once, then the signs are summed by place; without the signs where all
+    of them cancel out."""
     place = lambda w: F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(dims))
     sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(seed + 1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     hashed = F.transform(T.tokens(text), lambda w: F.struct(place(w).alias("p"), sign(w).alias("s")))
-    sums = lambda ws: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(ws, lambda w: w.p == k), F.lit(0.0), lambda s, w: s + w.s))
+    sums = lambda ws, one=lambda w: w.s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(ws, lambda w: w.p == k), F.lit(0.0), lambda s, w: s + one(w)))
+    signed = lambda ws: F.aggregate(F.array(sums(ws)), F.array().cast("array<double>"), lambda _, v: F.when(F.exists(v, lambda x: x != 0), v).otherwise(sums(ws, lambda w: F.lit(1.0))))
     # an aggregate over one element binds a name, so that hashes and sums are made once
-    raw = F.aggregate(F.array(hashed), F.array().cast("array<double>"), lambda _, ws: sums(ws))
+    raw = F.aggregate(F.array(hashed), F.array().cast("array<double>"), lambda _, ws: signed(ws))
     unit = lambda v: F.aggregate(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))), v, lambda _, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
     return F.aggregate(F.array(raw), F.array().cast("array<double>"), lambda _, v: unit(v))
 
