@@ -10,8 +10,12 @@ document of the k best is lost, so results equal those of scoring every posting.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +25,7 @@ from ..sources.sinks import read_or_none, written
 from . import lexical as L
 from .sizes import checked_broadcast
 
-#: Levels of a term's impacts, and postings of a block, about.
+#: Levels of impacts, and postings of a block at most.
 LEVELS, BLOCK = 16, 128
 #: Postings read first and documents then scored in whole, for each of the k asked for.
 POSTINGS_FIRST, DOCS_FIRST = 400, 8
@@ -33,7 +37,7 @@ SLACK = 2e-6
 
 @dataclass(frozen=True)
 class Impacts:
-    """``blocks(term, level, docs, impacts)``, ``levels(term, level, top, n)``, ``terms(term, df, top)``, ``forward(doc_id, terms, impacts)``."""
+    """``blocks(term, level, docs, impacts)``, ``levels(term, level, top, n)``, ``terms(term, df, top, idf)``, ``forward(doc_id, terms, impacts)``."""
 
     blocks: DataFrame
     levels: DataFrame
@@ -41,32 +45,47 @@ class Impacts:
     forward: DataFrame
 
 
-TABLES = {"blocks": {"term", "level", "docs", "impacts"}, "levels": {"term", "level", "top", "n"}, "terms": {"term", "df", "top"}, "forward": {"doc_id", "terms", "impacts"}}
+TABLES = {"blocks": {"term", "level", "docs", "impacts"}, "levels": {"term", "level", "top", "n"}, "terms": {"term", "df", "top", "idf"}, "forward": {"doc_id", "terms", "impacts"}}
+
+
+def _inverted(avg_dl: float | None, cfg: EngineConfig):
+    """Blocks of a batch of documents: its postings by term and level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(2).flatten().dictionary_encode()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            tf, dl = batch.column(3).flatten().to_numpy(), batch.column(1).to_numpy()[row]
+            impact = tf / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / avg_dl))
+            key = words.indices.to_numpy().astype(np.int64) * LEVELS + np.minimum(LEVELS - 1, LEVELS * impact).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            key, row, impact = key[order], row[order], impact[order]
+            # a block ends with its term and level, or when it is full
+            place = np.arange(len(key)) - np.searchsorted(key, key)
+            first = np.flatnonzero(place % BLOCK == 0)
+            at = pa.array(np.concatenate([first, [len(key)]]), pa.int32())
+            docs, impacts = (pa.ListArray.from_arrays(at, x) for x in (batch.column(0).take(pa.array(row)), pa.array(impact)))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key[first] // LEVELS)), pa.array((key[first] % LEVELS).astype(np.int32)), docs, impacts], names=["term", "level", "docs", "impacts"])
+
+    return run
 
 
 def build(index: L.Postings, cfg: EngineConfig = DEFAULT) -> Impacts:
-    """Impacts of a lexical index's postings. Levels and parts of a term are aggregated, so a term of a third of all documents is many rows in many tasks."""
+    """Impacts of a lexical index's postings, but for their term's weight, which ``terms`` holds once as ``idf``. Blocks are made of documents where they
+    are and documents keep their terms, so postings are not shuffled, only the levels' counts and maxima of each task."""
+    kind, avg_dl = dict(index.docs.dtypes)["doc_id"], index.stats.first()["avg_dl"]
+    rows = index.docs.select("doc_id", "dl", "terms", "tfs")
+    blocks = written(rows.mapInArrow(_inverted(avg_dl, cfg), f"term string, level int, docs array<{kind}>, impacts array<double>"), "blocks")
+    levels = written(blocks.groupBy("term", "level").agg(F.max(F.array_max("impacts")).alias("top"), F.sum(F.size("docs")).alias("n")), "levels")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = index.postings.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row
-    impact = idf * F.col("tf") / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avg_dl")))
-    rows = written(rows.select("term", "doc_id", "df", impact.alias("impact")), "impacts")
-    terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
-    level = F.floor(LEVELS * F.col("impact") / F.col("top")).cast("int")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / BLOCK))
-    shares = rows.join(terms.select("term", "top"), "term").select("term", "doc_id", "impact", level.alias("level"), part.alias("part"))
-    blocks = shares.groupBy("term", "level", "part").agg(F.collect_list(F.struct("doc_id", "impact")).alias("p"))
-    levels = shares.groupBy("term", "level").agg(F.max("impact").alias("top"), F.count("*").alias("n"))
-    forward = rows.groupBy("doc_id").agg(F.collect_list(F.struct("term", "impact")).alias("p"))
-    two = lambda a: [F.col(f"p.{a}").alias({"doc_id": "docs", "term": "terms"}[a]), F.col("p.impact").alias("impacts")]
-    return Impacts(blocks.select("term", "level", *two("doc_id")), levels, terms, forward.select("doc_id", *two("term")))
+    terms = levels.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).crossJoin(F.broadcast(index.stats))  # one row
+    impacts = F.transform("tfs", lambda tf: tf / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.lit(avg_dl))))
+    return Impacts(blocks, levels, terms.select("term", "df", "top", idf.alias("idf")), index.docs.select("doc_id", "terms", impacts.alias("impacts")))
 
 
 def save(index: Impacts, path: str) -> None:
-    """Terms and documents in order, so that a search reads the row groups of its own."""
-    index.blocks.repartition("term", F.pmod(F.hash("docs"), F.lit(16))).sortWithinPartitions("term", "level").write.mode("overwrite").parquet(f"{path}/blocks")
-    index.levels.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/levels")
-    index.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    index.forward.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/forward")
+    for name in TABLES:
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> Impacts | None:
@@ -76,10 +95,10 @@ def load(spark: SparkSession, path: str) -> Impacts | None:
 
 
 def query_terms(index: Impacts, queries: DataFrame, query_id: str, query_text: Column) -> DataFrame:
-    """``(query_id, term, qn, df, most)``: terms that the index has, with the most that each may add."""
+    """``(query_id, term, qn, df, most)``: terms that the index has, with what an impact counts for the query, and the most that each may add."""
     terms = L.term_rows(queries, query_id, query_text).groupBy(F.col(query_id).alias("query_id"), "term").agg(F.count("*").alias("qn"))
     terms = written(terms, "asked")
-    return written(index.terms.join(checked_broadcast(terms), "term").select("query_id", "term", "qn", "df", (F.col("qn") * F.col("top")).alias("most")), "terms")
+    return written(index.terms.join(checked_broadcast(terms), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("qn"), "df", (F.col("qn") * F.col("idf") * F.col("top")).alias("most")), "terms")
 
 
 def whole_scores(index: Impacts, terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -110,6 +129,11 @@ def skipped_levels(index: Impacts, terms: DataFrame, floor: DataFrame) -> DataFr
     return terms.join(checked_broadcast(fits), ["query_id", "term"], "left").select("query_id", "term", "qn", F.coalesce("skipped", F.lit(-1)).alias("skipped"), F.coalesce("unread", F.lit(0.0)).alias("unread"))
 
 
+def work(index: Impacts, queries: DataFrame, query_id: str, query_text: Column) -> DataFrame:
+    """``(query_id, postings)``: all postings of each query's terms, without a search."""
+    return query_terms(index, queries, query_id, query_text).groupBy("query_id").agg(F.sum("df").alias("postings"))
+
+
 def search(index: Impacts, queries: DataFrame, query_id: str, query_text: Column, k: int) -> tuple[DataFrame, DataFrame]:
     """``(query_id, doc_id, score, rank)``, the k best of every query, and ``(query_id, postings, postings_read)``: all postings of its
     terms, and the postings that were read, those of whole documents included."""
