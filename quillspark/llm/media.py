@@ -9,10 +9,11 @@ A candidate pair is decided on all its corners: matches within the Hamming bound
 scale and shift, the best vote is fitted by least squares, and the pair is linked if enough
 distinct corners agree with the fit. Links become components by star contraction.
 
-A table entry shared by many images is split by further bits of both corners, then by all of them. What still
-shares an entry then has two equal corners: its images meet the entry's hubs (least hashes, the same in
-all entries), and those not yet connected with a hub meet more hubs, twice as many each round, until
-none is left: no link is given up, and true copies, however many, are settled in the first rounds.
+All images of a table entry are compared as long as such pairs stay in proportion to the table. In larger
+entries they first meet a hub (the image of the least hash, the same in all entries), another one each round, as long as
+that halves what is not yet connected; then every two images of an entry that are in different components are
+compared, in blocks of bounded size. So no link between components is given up, and true copies, however many, are settled
+by their hubs.
 
 Defined results: null, empty or undecodable media have no corners and no links (``status`` says which);
 equal bytes link; repeated rows count as copies; an empty table gives an empty result; other columns are
@@ -22,6 +23,7 @@ not read. Decodes binary PGM and PPM, and PNG of 8 or 16 bits a sample or with a
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,8 +47,10 @@ SPOT = 6.0
 NEIGHBOURS, TABLES, KEY_BITS = 4, 2, 20
 #: Tests that key bits are sampled from.
 TELLING = 64
-#: Images in a table entry up to which all pairs of it are candidates.
-PAIRS = 24
+#: Rows of a table entry up to which all pairs of it are candidates; larger entries too, while they together make up to so many pairs a row of the table.
+PAIRS, PAIRS_A_ROW = 24, 1.0
+#: Components of an entry, and images of a component in an entry, that meet as many others at a time.
+BLOCK = 256
 #: Images whose entries are made at a time: bounds a worker's memory.
 PORTION = 256
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
@@ -256,18 +260,16 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def _masks() -> np.ndarray:
-    """Sampled bits of the corner and of its neighbour in each table, and two times as many that split a large entry."""
+    """Sampled bits of the corner and of its neighbour in each table."""
     rng = np.random.default_rng(KEY_BITS)
-    bits = np.zeros((TABLES, 2, 2, TESTS), np.uint8)
+    bits = np.zeros((TABLES, 2, TESTS), np.uint8)
     # a patch is turned so that its bright side lies along x: tests along x mostly say that again, tests across
     # it say more, and tests of far points waver less
     ahead, across = np.abs(PATTERN[:, 0] - PATTERN[:, 2]), np.abs(PATTERN[:, 1] - PATTERN[:, 3])
     telling = np.argsort(ahead - across, kind="stable")[:TELLING]
     for t in range(TABLES):
         for side in range(2):
-            order = rng.permutation(telling)
-            bits[t, side, 0, order[:KEY_BITS]] = 1
-            bits[t, side, 1, order[: 2 * KEY_BITS]] = 1
+            bits[t, side, rng.permutation(telling)[:KEY_BITS]] = 1
     return np.packbits(bits, axis=-1, bitorder="little").view("<u8")
 
 
@@ -275,7 +277,7 @@ MASKS = _masks()
 
 
 def pair_keys(made: np.ndarray) -> dict[str, np.ndarray]:
-    """Entries of the tables: key ``v``, the finer keys ``w1`` and ``w2``, and the corner."""
+    """Entries of the tables: key ``v`` and the corner."""
     x, y, scale, turn, bits = (made[k] for k in ("x", "y", "scale", "turn", "bits"))
     dx, dy = x[None, :] - x[:, None], y[None, :] - y[:, None]
     far = np.hypot(dx, dy) * scale[:, None]
@@ -287,9 +289,8 @@ def pair_keys(made: np.ndarray) -> dict[str, np.ndarray]:
     eighth = lambda angle: np.floor(np.mod(angle, 2 * np.pi) / (np.pi / 4)).astype(np.int64)
     lies = eighth(np.arctan2(dy[i, j], dx[i, j]) - turn[i]) + 8 * eighth(turn[j] - turn[i]) + 64 * np.floor(np.log2(far[i, j]) * 1.5).astype(np.int64)
     masks, own, other = MASKS, bits[i], bits[j]
-    keys = [[_mixed(np.full(len(i), t), lies, *(own & masks[t, 0, g]).T, *(other & masks[t, 1, g]).T) for t in range(TABLES)] for g in range(2)]
-    whole = _mixed(*own.T, *other.T)
-    return {"point": np.tile(i, TABLES), "v": np.concatenate(keys[0]), "w1": np.concatenate(keys[1]), "w2": np.tile(whole, TABLES)}
+    keys = [_mixed(np.full(len(i), t), lies, *(own & masks[t, 0]).T, *(other & masks[t, 1]).T) for t in range(TABLES)]
+    return {"point": np.tile(i, TABLES), "v": np.concatenate(keys)}
 
 
 def agreement(p: np.ndarray, q: np.ndarray, max_bits: int = MAX_BITS) -> int:
@@ -372,8 +373,8 @@ def _entries(made: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
             return {"v32": np.unique(keys["v"].astype(np.uint32)).view(np.int32)}
         bit = np.mod(keys["v"].astype(np.uint32).view(np.int32).astype(np.int64), FILTER_BITS)
         held = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-        at, own = corners[keys["point"][held]], {k: keys[k][held].view(np.int64) for k in ("v", "w1", "w2")}
-        return {"node": np.full(len(at), node), **own, **{k: at[k] for k in PLACE}}
+        at = corners[keys["point"][held]]
+        return {"key": keys["v"][held].view(np.int64), "node": np.full(len(at), node), **{k: at[k] for k in PLACE}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +383,7 @@ def _entries(made: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 made = [of(node, np.frombuffer(data, CORNER)) for node, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_pydict({k: np.concatenate([p[k] for p in made]) for k in made[0]})
 
-    kinds = "v32 int" if only_keys else "node long, v long, w1 long, w2 long, x float, y float, scale float, turn float"
+    kinds = "v32 int" if only_keys else "key long, node long, x float, y float, scale float, turn float"
     return made.select("node", "corners").mapInArrow(run, kinds)
 
 
@@ -393,26 +394,60 @@ def _small(df: DataFrame) -> DataFrame:
 PLACE = ["x", "y", "scale", "turn"]
 
 
+def _evidence(met: DataFrame) -> DataFrame:
+    """``met(p, fp, q, fq)`` of images and their corners as evidence ``(a, b, fa, fb)``, the lesser image first."""
+    first = F.col("p") < F.col("q")
+    sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("p", "q", "a"), ("q", "p", "b"), ("fp", "fq", "fa"), ("fq", "fp", "fb"))]
+    return met.where("p != q").select(*sides)
+
+
+def _sided(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.col("node").alias(side), F.struct(*PLACE).alias(f"f{side}"))
+
+
 def _together(rows: DataFrame) -> DataFrame:
     """Evidence of all pairs of images in one entry of ``rows(key, node, x, y, scale, turn)``."""
-    p, q = (rows.select("key", F.col("node").alias(n), F.struct(*PLACE).alias(f"f{n}")) for n in ("a", "b"))
-    return p.join(q, "key").where("a < b").select("a", "b", "fa", "fb")
+    return _sided(rows, "a", "key").join(_sided(rows, "b", "key"), "key").where("a < b").select("a", "b", "fa", "fb")
+
+
+def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """Evidence of each entry's hub and the images of ``rows(.., c)`` in it that are in another component than the hub."""
+    hub = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *PLACE, "c")).alias("hub"))
+    hub = hub.select("key", F.col("hub.node").alias("q"), F.struct(*[F.col(f"hub.{k}").alias(k) for k in PLACE]).alias("fq"), F.col("hub.c").alias("d"))
+    return _evidence(_sided(rows, "p", "key", "c").join(hub, "key").where("c != d"))
+
+
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """Evidence of all pairs of images of ``rows(.., c)`` in one entry that are in different components c. Components meet in
+    blocks, and so do the images of two components: no task holds an entry, and copies of one component are not paired."""
+    classes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
+    several = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("slots", F.ceil(F.col("m") / block))
+    classes = classes.join(several, "key").withColumn("at", F.pmod(F.xxhash64("c"), "slots")).withColumn("n", F.ceil(F.col("n") / block))
+    # every two blocks of components meet once, at the lesser and the greater of their places
+    dealt = classes.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "at", "c", "n")
+    p, q = (dealt.select("key", "i", "j", *[F.col(k).alias(k + side) for k in ("at", "c", "n")]) for side in "pq")
+    met = p.join(q, ["key", "i", "j"]).where("cp < cq and (atp = atq) = (i = j)")
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = met.select("key", "cp", "cq", "nq", parts("np").alias("kp")).select("key", "cp", "cq", "kp", parts("nq").alias("kq"))
+    rows = rows.join(classes.select("key", "c", "n"), ["key", "c"]).withColumn("k", F.pmod(F.xxhash64("node"), "n"))
+    for side in "pq":
+        met = met.join(_sided(rows, side, "key", F.col("c").alias(f"c{side}"), F.col("k").alias(f"k{side}")), ["key", f"c{side}", f"k{side}"])
+    return _evidence(met)
 
 
 def _agreeing(evidence: DataFrame) -> DataFrame:
     """Pairs (a, b) of which two pieces of evidence agree on one turn, scale and shift."""
     turn = F.pmod(F.col("fb.turn") - F.col("fa.turn"), F.lit(2 * np.pi))
     grow = F.col("fa.scale") / F.col("fb.scale")
-    e = evidence.select("a", "b", turn.alias("turn"), grow.alias("grow"), "fa", "fb")
+    # most pairs have one piece of evidence and go first
+    e = evidence.groupBy("a", "b").agg(F.collect_set(F.struct("fa", "fb")).alias("e")).where(F.size("e") > 1)
+    e = e.select("a", "b", F.explode_outer("e").alias("e")).select("a", "b", "e.fa", "e.fb").select("a", "b", turn.alias("turn"), grow.alias("grow"), "fa", "fb")
     sx = F.col("fb.x") - F.col("grow") * (F.col("fa.x") * F.cos("turn") - F.col("fa.y") * F.sin("turn"))
     sy = F.col("fb.y") - F.col("grow") * (F.col("fa.x") * F.sin("turn") + F.col("fa.y") * F.cos("turn"))
     at = F.struct(F.round("fa.x", 1).alias("x"), F.round("fa.y", 1).alias("y"))
     # bins of every quantity twice, half a bin apart
     halves = F.array(*[F.struct(*[F.lit(0.5 * (g >> k & 1)).alias(n) for k, n in enumerate("tgxy")]) for g in range(16)])
-    e = e.select("a", "b", "turn", "grow", sx.alias("sx"), sy.alias("sy"), at.alias("at")).distinct()
-    # most pairs have one piece of evidence and go before their bins are made
-    several = e.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    e = e.join(several, ["a", "b"]).withColumn("h", F.explode(halves))
+    e = e.select("a", "b", "turn", "grow", sx.alias("sx"), sy.alias("sy"), at.alias("at"), F.explode(halves).alias("h"))
     bins = [F.pmod(F.floor(F.col("turn") / (np.pi / 6) + F.col("h.t")), F.lit(12)), F.floor(F.ln("grow") / (2 * np.log(STEP)) + F.col("h.g")), F.floor(F.col("sx") / 20 + F.col("h.x")), F.floor(F.col("sy") / 20 + F.col("h.y"))]
     met = e.groupBy("a", "b", "h", *[b.alias(f"b{k}") for k, b in enumerate(bins)]).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     return met.where("lo != hi").select("a", "b").distinct()
@@ -434,43 +469,62 @@ def _verified(pairs: DataFrame, made: DataFrame, votes: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, votes int").where(F.col("votes") >= votes)
 
 
+def _all_pairs_up_to(sizes: DataFrame, rows: int) -> int:
+    """Rows of an entry up to which all pairs of it are compared: PAIRS, or as many times two as keep the pairs of larger entries in proportion to the table."""
+    most, room = PAIRS, PAIRS_A_ROW * rows
+    steps = F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / PAIRS))).cast("int")
+    for r in sizes.groupBy(steps.alias("step")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).orderBy("step").collect():  # one row a power of two
+        room -= r["pairs"]
+        if room < 0:
+            break
+        most = PAIRS << r["step"]
+    return most
+
+
 def image_links(spark: SparkSession, made: DataFrame, scratch: Scratch, votes: int = VOTES) -> DataFrame:
-    """Pairs ``(a, b, votes)`` of nodes whose corners agree on one turn, scale and shift."""
+    """Pairs ``(a, b, votes)`` of nodes whose corners agree on one turn, scale and shift: all of them between different components
+    that are candidates; within a component of images that share a very large entry, those that were met."""
     shared = _entries(made).groupBy("v32").agg(F.count("*").alias("n")).where("n > 1").select("v32")
-    # entries that only the filter lets through have one image, and go with the first sizes
+    # entries that only the filter lets through have one image, and no partner in the join
     entries = scratch.write(_entries(made, _filter_of(shared)), "entries")
-    evidence, rest = None, entries.withColumn("key", F.col("v"))
-    for finer in ("w1", "w2", None):
-        sizes = rest.groupBy("key").agg(F.approx_count_distinct("node").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
-        sizes = scratch.write(sizes.select("key", "n"), "sizes")
-        few = _together(rest.join(_small(sizes.where(F.col("n") <= PAIRS).select("key")), "key"))
-        evidence = few if evidence is None else evidence.unionByName(few)
-        many = rest.join(_small(sizes.where(F.col("n") > PAIRS).select("key")), "key", "left_semi")
-        rest = scratch.write(many.withColumn("key", F.xxhash64("v", finer)) if finer else many, "rest")
-    links = scratch.write(_verified(scratch.write(_agreeing(evidence), "candidates"), made, votes), "links")
-    # entries of equal corners with many images: hubs, twice as many each round, until every image is with one
-    rest = scratch.write(rest.select("key", "node").distinct().withColumn("h", F.xxhash64("node", F.lit(11))), "large")
-    tried, hubs = None, 1
-    while not rest.isEmpty():
-        parts = scratch.write(connected_components(spark, links.select("a", "b"), scratch), "parts")
-        named = rest.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        # one image of each component stands for it in an entry; the least hashes of an entry are its hubs
-        alone = scratch.write(named.groupBy("key", "c").agg(F.min_by("node", "h").alias("node"), F.min("h").alias("h")), "alone")
-        left = alone.groupBy("key").agg(F.count("*").alias("left"), F.min("h").alias("least")).where("left > 1")
-        alone = alone.join(left, "key").withColumn("hub", (F.col("h") == F.col("least")) | (F.pmod(F.xxhash64("h", F.lit(hubs)), F.col("left")) < hubs))
-        hub = alone.where("hub").select("key", F.col("node").alias("other"))
-        asked = alone.select("key", "node").join(hub, "key").where("node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        asked = asked if tried is None else asked.join(tried, ["a", "b"], "left_anti")
-        asked = scratch.write(asked, "asked")
-        everyone = alone.where("left > " + str(hubs)).isEmpty()
-        if asked.isEmpty() and everyone:
+    sizes = scratch.write(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS), "sizes")
+    large = sizes.where(F.col("n") > _all_pairs_up_to(sizes, entries.count())).select("key")
+    few = _together(entries.join(_small(large), "key", "left_anti"))
+    rest = scratch.write(entries.join(_small(large), "key", "left_semi"), "large")
+    if rest.isEmpty():
+        return scratch.write(_verified(scratch.write(_agreeing(few), "candidates"), made, votes), "links")
+    rows, links, tried = rest.withColumn("c", F.col("node")), None, None
+    left, before = _open(rows), None
+    for turn in itertools.count():
+        hubs = _with_hubs(rows, turn)
+        asked = _agreeing(hubs if turn else few.unionByName(hubs))
+        asked = scratch.write(asked.join(tried, ["a", "b"], "left_anti") if turn else asked, "candidates")
+        tried = scratch.write(tried.union(asked), "tried") if turn else asked
+        links, rows = _linked(spark, asked, links, rest, made, scratch, votes)
+        left, before = _open(rows), left
+        if left == 0:
+            return links
+        if left > before / 2:
             break
-        tried = asked if tried is None else scratch.write(tried.union(asked), "tried")
-        links = scratch.write(links.union(_verified(asked, made, votes)), "links")
-        if everyone:
-            break
-        hubs *= 2
-    return links
+    # whatever is left: all pairs of different components in an entry, with the evidence that they have in other entries
+    met = scratch.write(_across(rows, BLOCK), "across")
+    evidence = met.unionByName(few.join(met.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+    asked = scratch.write(_agreeing(evidence).join(tried, ["a", "b"], "left_anti"), "candidates")
+    return _linked(spark, asked, links, rest, made, scratch, votes)[0]
+
+
+def _open(rows: DataFrame) -> int:
+    """Components that the entries of ``rows(key, .., c)`` hold beyond one each."""
+    beyond = rows.select("key", "c").distinct().groupBy("key").agg((F.count("*") - 1).alias("n"))
+    return beyond.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _linked(spark: SparkSession, asked: DataFrame, links: DataFrame | None, rest: DataFrame, made: DataFrame, scratch: Scratch, votes: int) -> tuple[DataFrame, DataFrame]:
+    """links with those of the pairs asked, and ``rest`` with the component c of each image by them."""
+    new = _verified(asked, made, votes)
+    links = scratch.write(new if links is None else links.union(new), "links")
+    parts = connected_components(spark, links.select("a", "b"), scratch)
+    return links, scratch.write(rest.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "parts")
 
 
 def image_copies(media: DataFrame, id_col: str, media_col: str, *, keypoints: int = KEYPOINTS, votes: int = VOTES) -> DataFrame:

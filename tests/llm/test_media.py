@@ -6,6 +6,7 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from quillspark.llm import media
 
@@ -93,3 +94,32 @@ def test_functions_travel_whole():
         code = "import sys, pickle; sys.path = [p for p in sys.path if 'repo' not in p]; print(pickle.load(sys.stdin.buffer)())"
         done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(job), capture_output=True, cwd="/", env={"PATH": "/usr/bin:/bin"}, timeout=120)
         assert done.returncode == 0 and int(done.stdout) == job(), done.stderr[-500:]
+
+
+def test_entries_of_many_images(spark, monkeypatch):
+    """Entries above the size whose pairs are all compared lose no link between pictures: every entry is made such a one."""
+    rng, rows = np.random.default_rng(8), []
+    for v in vectors(8, 12):
+        img = media.decode(media.render(v))
+        rows += [img, img[10:86, 8:80], *(img * 0.8 + rng.normal(0, 6, img.shape) for _ in range(4))]
+    made = [media.describe(img.astype(np.float32)) for img in rows]
+    frame = spark.createDataFrame([(k, m.tobytes()) for k, m in enumerate(made)], "node long, corners binary")
+
+    def parts():
+        links = media.image_links(spark, frame, media.Scratch(spark, "test"))
+        return {r.node: r.component for r in media.connected_components(spark, links.select("a", "b"), media.Scratch(spark, "test")).collect()}
+
+    want = parts()
+    assert len(set(want.values())) == 12 and len(want) >= 0.9 * len(rows)
+    for name, value in {"PAIRS": 1, "PAIRS_A_ROW": 0.0, "BLOCK": 2}.items():
+        monkeypatch.setattr(media, name, value, raising=False)
+    assert parts() == want
+
+
+def test_pairs_across_components(spark, monkeypatch):
+    """Blocks of components and of their images: every pair of different components in an entry once, none of the same."""
+    monkeypatch.setattr(media, "PLACE", ["x"])
+    rows = [(key, node, float(node), node % 7 if node < 40 else node) for key, n in ((1, 50), (2, 3), (3, 1)) for node in range(n)] + [(4, n, 0.0, 0) for n in range(20)]
+    got = media._across(spark.createDataFrame(rows, "key long, node long, x double, c long"), 4).select("a", "b", "fa.x", F.col("fb.x").alias("y")).collect()
+    want = [(p[1], q[1], p[2], q[2]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and p[3] != q[3]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
