@@ -1,10 +1,10 @@
 """Media columns: copies of images by local descriptors.
 
-Plan: equal byte strings collapse first; one pass decodes every image and describes the corners of
+Plan: one pass takes the digest of every image, decodes it and describes the corners of
 a pyramid (steps of 1.2, down to the smallest level that holds a patch; small images are enlarged
-first) by 256 binary intensity tests in a patch turned to its own orientation. Hamming tables find
-candidates: a key is 20 sampled test bits of a corner, 20 of a neighbouring corner, and coarsely how
-the neighbour lies; images are candidates if two keys agree on one turn, scale and shift.
+first) by 256 binary intensity tests in a patch turned to its own orientation; equal byte strings collapse. A Hamming table
+finds candidates: a key is 13 sampled test bits of a corner and of two of its six nearest, and coarsely how
+the two lie; images are candidates if three corners of one key also agree in further bits, and on one turn, scale and shift.
 A candidate pair is decided on all its corners: matches within the Hamming bound vote for a turn,
 scale and shift, the best vote is fitted by least squares, and the pair is linked if enough
 distinct corners agree with the fit. Links become components by star contraction.
@@ -22,7 +22,7 @@ not read. Decodes binary PGM and PPM, and PNG of 8 or 16 bits a sample or with a
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import itertools
 import struct
 import zlib
@@ -43,23 +43,28 @@ SMALL = 96
 MAX_BITS, VOTES, FIT = 40, 7, 3.0
 #: Corners of one spot lie in one square of so many pixels.
 SPOT = 6.0
-#: Neighbours that a corner is paired with, tables, and sampled bits of each corner in a key.
-NEIGHBOURS, TABLES, KEY_BITS = 4, 2, 20
+#: Neighbours of which every two make a key with their corner, and sampled bits of each of the three in it.
+NEIGHBOURS, KEY_BITS = 6, 13
+#: Of the three corners of a key: words of tests that are compared, bits of them all that may differ, and by how many pixels
+#: of the level they may be off their best fit, by what angle their turns, by what factor (its logarithm) its scale.
+WORDS, NEAR_BITS, NEAR_FIT, NEAR_TURN, NEAR_SCALE = 2, 44, 3.0, 0.5, 0.3
 #: Tests that key bits are sampled from.
 TELLING = 64
 #: Rows of a table entry up to which all pairs of it are candidates; larger entries too, while they together make up to so many pairs a row of the table.
 PAIRS, PAIRS_A_ROW = 24, 1.0
 #: Components of an entry, and images of a component in an entry, that meet as many others at a time.
 BLOCK = 256
-#: Images whose entries are made at a time: bounds a worker's memory.
-PORTION = 256
+#: Images whose entries are made at a time, images of one size that are described at a time, and keys held at a time: bound a worker's memory.
+PORTION, STACK, KEYS = 256, 16, 1 << 22
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_500_000
-#: Bits of the filter that keys shared by no two images rarely pass (8 MB).
-FILTER_BITS = 1 << 26
+#: Least and most bits of the filter that keys shared by no two images rarely pass (8 to 64 MB), and bits for each key that is shared.
+FILTER_BITS, MOST_FILTER_BITS, BITS_A_KEY = 1 << 26, 1 << 29, 32
 #: Longest header of a PGM or PPM that is read.
 HEADER = 4096
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("turn", "<f4"), ("bits", "<u8", 4)])
+#: What an entry says of its three corners.
+SIGHT = np.dtype([("scale", "<f4"), ("x", "<f4", 3), ("y", "<f4", 3), ("turn", "<f4", 3), ("bits", "<u8", (3, WORDS))])
 
 
 def status(data: bytes | None) -> str:
@@ -181,23 +186,28 @@ def _matrix(n: int, m: int) -> np.ndarray:
 
 
 def resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    return img if img.shape == (h, w) else _resampling(img.shape[0], h) @ img @ _resampling(img.shape[1], w).T
+    return img if img.shape[-2:] == (h, w) else _resampling(img.shape[-2], h) @ img @ _resampling(img.shape[-1], w).T
 
 
-def _sum(img: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of side 2r + 1, edges repeated."""
-    pad = np.pad(img, r, mode="edge")
-    h, w = img.shape
-    rows = sum((pad[k : k + h] for k in range(1, 2 * r + 1)), pad[:h])
-    return sum((rows[:, k : k + w] for k in range(1, 2 * r + 1)), rows[:, :w])
+def _framed(img: np.ndarray, r: int) -> np.ndarray:
+    """Images with their edges repeated r times."""
+    out = np.empty((*img.shape[:-2], img.shape[-2] + 2 * r, img.shape[-1] + 2 * r), img.dtype)
+    out[..., r:-r, r:-r] = img
+    out[..., :r, r:-r], out[..., -r:, r:-r] = img[..., :1, :], img[..., -1:, :]
+    out[..., :r], out[..., -r:] = out[..., r : r + 1], out[..., -r - 1 : -r]
+    return out
 
 
-def _highest(img: np.ndarray, r: int) -> np.ndarray:
-    """Maxima over squares of side 2r + 1."""
-    pad = np.pad(img, r, constant_values=-np.inf)
-    h, w = img.shape
-    rows = functools.reduce(np.maximum, (pad[k : k + h] for k in range(2 * r + 1)))
-    return functools.reduce(np.maximum, (rows[:, k : k + w] for k in range(2 * r + 1)))
+def _over(img: np.ndarray, r: int, step: np.ufunc) -> np.ndarray:
+    """A running step over squares of side 2r + 1 that lie in the image."""
+    h, w = img.shape[-2] - 2 * r, img.shape[-1] - 2 * r
+    rows = img[..., :h, :].copy()
+    for k in range(1, 2 * r + 1):
+        step(rows, img[..., k : k + h, :], out=rows)
+    out = rows[..., :w].copy()
+    for k in range(1, 2 * r + 1):
+        step(out, rows[..., k : k + w], out=out)
+    return out
 
 
 def _pattern() -> np.ndarray:
@@ -216,37 +226,72 @@ PATTERN, PATCH = _pattern(), _patch()
 
 def describe(img: np.ndarray, keypoints: int = KEYPOINTS) -> np.ndarray:
     """Corners: x and y in pixels of the image, the level's scale, turn in radians, 256 test bits."""
-    img, edge, pattern = img.astype(np.float32), RADIUS + 1, PATTERN
+    return _corners(img.astype(np.float32)[None], keypoints)[0]
+
+
+def describe_all(imgs: list[np.ndarray | None], keypoints: int = KEYPOINTS) -> list[np.ndarray | None]:
+    """The corners of each image; images of one size are described together."""
+    out, sizes = [None] * len(imgs), {}
+    for k, img in enumerate(imgs):
+        if img is not None:
+            sizes.setdefault(img.shape, []).append(k)
+    for (h, w), which in sizes.items():
+        step = max(1, min(STACK, STACK * SMALL * SMALL // (h * w)))
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            for k, made in zip(part, _corners(np.stack([imgs[k] for k in part]).astype(np.float32), keypoints)):
+                out[k] = made
+    return out
+
+
+def _corners(imgs: np.ndarray, keypoints: int) -> list[np.ndarray]:
+    """Corners of each of the images of one size."""
+    edge, pattern = RADIUS + 1, PATTERN
     yy, xx, by_y, by_x = PATCH
-    out = []
-    scale = 1.0
-    while max(img.shape) * scale * STEP <= SMALL:
+    found, out = [], []
+    scale, full = 1.0, imgs.shape[1:]
+    while max(full) * scale * STEP <= SMALL:
         scale *= STEP
     while True:
-        h, w = round(img.shape[0] * scale), round(img.shape[1] * scale)
+        h, w = round(full[0] * scale), round(full[1] * scale)
         if min(h, w) <= 2 * edge + 2:
             break
-        smooth = _sum(_sum(resize(img, h, w), 1), 1) / np.float32(81)
-        gy, gx = np.gradient(smooth)
-        a, b, c = (_sum(v, 2) / np.float32(25) for v in (gx * gx, gy * gy, gx * gy))
-        core = (a * b - c * c - np.float32(0.05) * (a + b) ** 2)[edge:-edge, edge:-edge]
-        ys, xs = np.nonzero((core == _highest(core, 2)) & (core > 1.0))
-        best = np.argsort(-core[ys, xs], kind="stable")[: max(LEAST, int(keypoints * min(1.0, scale)))]
-        ys, xs = ys[best] + edge, xs[best] + edge
+        smooth = resize(imgs, h, w)
+        for _ in range(2):
+            smooth = _over(_framed(smooth, 1), 1, np.add)
+        smooth = smooth / np.float32(81)
+        # only what lies in the edge is a corner: the gradients around that are enough
+        near = smooth[:, edge - 3 : 3 - edge, edge - 3 : 3 - edge]
+        gy, gx = (near[:, 2:, 1:-1] - near[:, :-2, 1:-1]) / np.float32(2), (near[:, 1:-1, 2:] - near[:, 1:-1, :-2]) / np.float32(2)
+        a, b, c = (_over(v, 2, np.add) / np.float32(25) for v in (gx * gx, gy * gy, gx * gy))
+        core = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+        around = np.full((len(core), h - 2 * edge + 4, w - 2 * edge + 4), -np.inf, np.float32)
+        around[:, 2:-2, 2:-2] = core
+        which, ys, xs = np.nonzero((core == _over(around, 2, np.maximum)) & (core > 1.0))
+        best = np.lexsort((-core[which, ys, xs], which))
+        first = np.searchsorted(which, np.arange(len(imgs)))
+        best = best[np.arange(len(best)) - first[which] < max(LEAST, int(keypoints * min(1.0, scale)))]
+        which, ys, xs = which[best], ys[best] + edge, xs[best] + edge
         if len(ys):
-            patch = smooth[ys[:, None, None] + yy, xs[:, None, None] + xx]
+            flat, at = smooth.ravel(), (which * h + ys) * w + xs
+            patch = flat[at[:, None, None] + (yy * w + xx)]
             turn = np.arctan2((patch * by_y).sum(axis=(1, 2)), (patch * by_x).sum(axis=(1, 2)))
             cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
             sample = []
             for k in (0, 2):
                 px, py = pattern[None, :, k], pattern[None, :, k + 1]
-                sample.append(smooth[ys[:, None] + np.rint(px * sin + py * cos).astype(int), xs[:, None] + np.rint(px * cos - py * sin).astype(int)])
+                sample.append(flat[at[:, None] + (np.rint(px * sin + py * cos) * w + np.rint(px * cos - py * sin)).astype(int)])
             made = np.empty(len(ys), CORNER)
             made["x"], made["y"], made["scale"], made["turn"] = (xs + 0.5) / scale - 0.5, (ys + 0.5) / scale - 0.5, scale, turn
             made["bits"] = np.packbits(sample[0] < sample[1], axis=1, bitorder="little").view("<u8")
+            found.append(which)
             out.append(made)
         scale /= STEP
-    return np.concatenate(out) if out else np.empty(0, CORNER)
+    if not out:
+        return [np.empty(0, CORNER) for _ in imgs]
+    which = np.concatenate(found)
+    order = np.argsort(which, kind="stable")
+    return np.split(np.concatenate(out)[order], np.searchsorted(which[order], np.arange(1, len(imgs))))
 
 
 def _mixed(*parts: np.ndarray) -> np.ndarray:
@@ -260,37 +305,71 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def _masks() -> np.ndarray:
-    """Sampled bits of the corner and of its neighbour in each table."""
-    rng = np.random.default_rng(KEY_BITS)
-    bits = np.zeros((TABLES, 2, TESTS), np.uint8)
+    """Sampled bits of the corner and of its neighbours."""
+    rng = np.random.default_rng(20)
+    bits = np.zeros((2, TESTS), np.uint8)
     # a patch is turned so that its bright side lies along x: tests along x mostly say that again, tests across
     # it say more, and tests of far points waver less
     ahead, across = np.abs(PATTERN[:, 0] - PATTERN[:, 2]), np.abs(PATTERN[:, 1] - PATTERN[:, 3])
     telling = np.argsort(ahead - across, kind="stable")[:TELLING]
-    for t in range(TABLES):
-        for side in range(2):
-            bits[t, side, rng.permutation(telling)[:KEY_BITS]] = 1
+    for side in range(2):
+        bits[side, rng.permutation(telling)[:KEY_BITS]] = 1
     return np.packbits(bits, axis=-1, bitorder="little").view("<u8")
 
 
 MASKS = _masks()
+#: Every two of a corner's neighbours.
+TWO = np.array(list(itertools.combinations(range(NEIGHBOURS), 2))).T
 
 
 def pair_keys(made: np.ndarray) -> dict[str, np.ndarray]:
-    """Entries of the tables: key ``v`` and the corner."""
+    """Entries of the table: key ``v`` and the three corners, the two neighbours in an order that their own bits and places give."""
+    n = len(made)
+    if n < 3:
+        return {"points": np.empty((0, 3), np.int64), "v": np.empty(0, np.uint64)}
     x, y, scale, turn, bits = (made[k] for k in ("x", "y", "scale", "turn", "bits"))
     dx, dy = x[None, :] - x[:, None], y[None, :] - y[:, None]
     far = np.hypot(dx, dy) * scale[:, None]
     far[(scale[:, None] != scale[None, :]) | (far < 3)] = np.inf
     near = np.argsort(far, axis=1, kind="stable")[:, :NEIGHBOURS]
-    i, j = np.repeat(np.arange(len(made)), near.shape[1]), near.ravel()
+    if n < NEIGHBOURS:
+        near = np.pad(near, ((0, 0), (0, NEIGHBOURS - n)), mode="edge")
+    i, j = np.repeat(np.arange(n), NEIGHBOURS), near.ravel()
     held = np.isfinite(far[i, j])
-    i, j = i[held], j[held]
     eighth = lambda angle: np.floor(np.mod(angle, 2 * np.pi) / (np.pi / 4)).astype(np.int64)
-    lies = eighth(np.arctan2(dy[i, j], dx[i, j]) - turn[i]) + 8 * eighth(turn[j] - turn[i]) + 64 * np.floor(np.log2(far[i, j]) * 1.5).astype(np.int64)
-    masks, own, other = MASKS, bits[i], bits[j]
-    keys = [_mixed(np.full(len(i), t), lies, *(own & masks[t, 0]).T, *(other & masks[t, 1]).T) for t in range(TABLES)]
-    return {"point": np.tile(i, TABLES), "v": np.concatenate(keys)}
+    lies = eighth(np.arctan2(dy[i, j], dx[i, j]) - turn[i]) + 8 * eighth(turn[j] - turn[i]) + 64 * np.floor(np.log2(np.where(held, far[i, j], 4)) * 1.5).astype(np.int64)
+    masks = MASKS
+    own = _mixed(*(bits & masks[0]).T)
+    other, held = _mixed(lies, *(bits & masks[1])[j].T).reshape(n, -1), held.reshape(n, -1)
+    (one, two), (p, q) = TWO, (near[:, k] for k in TWO)
+    held = held[:, one] & held[:, two] & (p != q)
+    swap = other[:, one] > other[:, two]
+    points = np.stack([np.broadcast_to(np.arange(n)[:, None], p.shape), np.where(swap, q, p), np.where(swap, p, q)], axis=2)[held]
+    return {"points": points, "v": (own[:, None] + (other[:, one] + other[:, two]))[held]}
+
+
+def sights(made: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """What entries say of their corners, for ``alike``."""
+    out = np.empty(len(points), SIGHT)
+    out["scale"] = made["scale"][points[:, 0]]
+    for k in ("x", "y", "turn"):
+        out[k] = made[k][points]
+    out["bits"] = made["bits"][:, :WORDS][points]
+    return out
+
+
+def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which sights of entries with equal keys agree: in bits, and on one turn, scale and shift."""
+    out = np.bitwise_count(p["bits"] ^ q["bits"]).sum(axis=(1, 2), dtype=np.int64) <= NEAR_BITS
+    p, q = p[out], q[out]
+    za, zb = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
+    za, zb = za - za.mean(axis=1, keepdims=True), zb - zb.mean(axis=1, keepdims=True)
+    alpha = (np.conj(za) * zb).sum(axis=1) / np.maximum((np.abs(za) ** 2).sum(axis=1), 1e-9)
+    off = np.abs(alpha[:, None] * za - zb).max(axis=1) * q["scale"]
+    turn = np.abs(np.mod(q["turn"] - p["turn"] - np.angle(alpha)[:, None] + np.pi, 2 * np.pi) - np.pi).max(axis=1)
+    grow = np.abs(np.log(np.maximum(np.abs(alpha), 1e-9) * q["scale"] / p["scale"]))
+    out[out] = (off <= NEAR_FIT) & (turn <= NEAR_TURN) & (grow <= NEAR_SCALE)
+    return out
 
 
 def agreement(p: np.ndarray, q: np.ndarray, max_bits: int = MAX_BITS) -> int:
@@ -336,62 +415,119 @@ def agreement(p: np.ndarray, q: np.ndarray, max_bits: int = MAX_BITS) -> int:
 
 
 def pictures(images: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
-    """``images(node, media)`` -> (node, status, corners: the packed corners of the image, null if there are none)."""
+    """``images(node, media)`` -> (node, digest: null without media, status, corners: the packed corners of the image, null if there are none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PORTION):
+                part = batch.slice(at, PORTION)
+                media = part.column(1).to_pylist()
+                imgs = [decode(data) for data in media]
+                state = ["decoded" if img is not None else status(data) for data, img in zip(media, imgs)]
+                made = [m.tobytes() if m is not None and len(m) else None for m in describe_all(imgs, keypoints)]
+                digest = [hashlib.sha256(data).digest() if data else None for data in media]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(state), pa.array(made, pa.binary())], names=["node", "digest", "status", "corners"])
+
+    return images.select("node", "media").mapInArrow(run, "node long, digest binary, status string, corners binary")
+
+
+def _buckets(images: int) -> int:
+    """Bits that the buckets of so many images' keys are numbered by: about 4,096 images' keys in a bucket, 64 buckets at least."""
+    return min(24, max(6, (images // 4096).bit_length()))
+
+
+def _shared_keys(made: DataFrame, bucket_bits: int) -> DataFrame:
+    """``(bucket, n, keys)``: of the keys' first bits, a bucket's number and 32 more, those that two images or more have. Only these
+    32 bits travel, sorted and byte by byte, each of a portion of images twice at most."""
+    rest = np.uint64(32 - bucket_bits)
+
+    def gathered(held: list[np.ndarray]) -> pa.RecordBatch:
+        g = np.sort(np.concatenate(held))
+        if len(g) > 2:
+            g = g[np.concatenate([[True, True], g[2:] != g[:-2]])]
+        ends = np.searchsorted(g, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(32))
+        parts = [(k, p) for k, p in enumerate(np.split(g, ends)) if len(p)]
+        keys = [p.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for _, p in parts]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(keys, pa.binary())], names=["bucket", "keys"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for data in batch.column(0):
+                held.append(np.unique(pair_keys(np.frombuffer(data.as_py(), CORNER))["v"] >> rest))
+                n += len(held[-1])
+                if n > KEYS:
+                    yield gathered(held)
+                    held, n = [], 0
+        if n:
+            yield gathered(held)
+
+    def met(table: pa.Table) -> pa.Table:
+        planes = [np.frombuffer(k, np.uint8).reshape(4, -1).T for k in table.column("keys").to_pylist()]
+        g = np.sort(np.concatenate(planes).copy().view("<u4").ravel())
+        again = g[1:] == g[:-1]
+        g = np.unique(g[1:][again])
+        return pa.table({"bucket": table.column("bucket")[:1], "n": pa.array([len(g)], pa.int64()), "keys": pa.array([g.tobytes()], pa.binary())})
+
+    return made.select("corners").mapInArrow(sent, "bucket int, keys binary").groupBy("bucket").applyInArrow(met, "bucket int, n long, keys binary")
+
+
+def _places(g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a filter of so many bits that stand for each key's first bits."""
+    h = _mixed(g)
+    return (h & np.uint64(size - 1)).view(np.int64), (h >> np.uint64(32) & np.uint64(size - 1)).view(np.int64)
+
+
+def _filter_of(shared: DataFrame) -> np.ndarray:
+    """The filter of ``shared(bucket, n, keys)``: or-ed in Spark, its size bounded however many keys there are."""
+    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (n * BITS_A_KEY).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            state, made = [], []
-            for media in batch.column(1):
-                data = media.as_py()
-                img = decode(data)
-                corners = describe(img, keypoints) if img is not None else ()
-                state.append("decoded" if img is not None else status(data))
-                made.append(corners.tobytes() if len(corners) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(state), pa.array(made, pa.binary())], names=["node", "status", "corners"])
-
-    return images.select("node", "media").mapInArrow(run, "node long, status string, corners binary")
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit for each of FILTER_BITS remainders of the keys(v32) that occurs: or-ed in Spark, of one size however many keys there are."""
-    at = F.pmod(F.col("v32").cast("long"), F.lit(FILTER_BITS))
-    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(cast(v32 as long), {FILTER_BITS}) & 63 as int))").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = np.unique(np.concatenate(_places(np.frombuffer(keys, "<u4").astype(np.uint64) | np.uint64(bucket << 32), size)))
+                if len(at):
+                    w = at >> 6
+                    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                    b = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[first], pa.int32()), pa.array(b)], names=["w", "b"])
+
+    found = shared.select("bucket", "keys").mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
     return bits.view(np.uint64)
 
 
-def _entries(made: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """Table entries of all images whose key has its bit; without bits 32 bits of each key, once an image."""
-    only_keys = bits is None
-    shared = None if only_keys else made.sparkSession.sparkContext.broadcast(bits)
+def _entries(made: DataFrame, bits: np.ndarray, bucket_bits: int) -> DataFrame:
+    """Table entries of all images whose key has its bits in the filter."""
+    shared, rest = made.sparkSession.sparkContext.broadcast(bits), np.uint64(32 - bucket_bits)
 
-    def of(node: int, corners: np.ndarray) -> dict[str, np.ndarray]:
-        keys = pair_keys(corners)
-        if only_keys:
-            return {"v32": np.unique(keys["v"].astype(np.uint32)).view(np.int32)}
-        bit = np.mod(keys["v"].astype(np.uint32).view(np.int32).astype(np.int64), FILTER_BITS)
-        held = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-        at = corners[keys["point"][held]]
-        return {"key": keys["v"][held].view(np.int64), "node": np.full(len(at), node), **{k: at[k] for k in PLACE}}
+    def of(node: int, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, held = pair_keys(corners), True
+        for at in _places(keys["v"] >> rest, 64 * len(shared.value)):
+            held = held & (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1)
+        v = keys["v"][held].view(np.int64)
+        return v, np.full(len(v), node), sights(corners, keys["points"][held])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PORTION):
                 part = batch.slice(at, PORTION)
                 made = [of(node, np.frombuffer(data, CORNER)) for node, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_pydict({k: np.concatenate([p[k] for p in made]) for k in made[0]})
+                key, node, sight = (np.concatenate(p) for p in zip(*made))
+                ends = pa.py_buffer(np.arange(len(sight) + 1, dtype=np.int32) * np.int32(SIGHT.itemsize))
+                sight = pa.Array.from_buffers(pa.binary(), len(sight), [None, ends, pa.py_buffer(sight.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), sight], names=["key", "node", "sight"])
 
-    kinds = "v32 int" if only_keys else "key long, node long, x float, y float, scale float, turn float"
-    return made.select("node", "corners").mapInArrow(run, kinds)
+    return made.select("node", "corners").mapInArrow(run, "key long, node long, sight binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-PLACE = ["x", "y", "scale", "turn"]
+PLACE = ["sight"]
 
 
 def _evidence(met: DataFrame) -> DataFrame:
@@ -406,7 +542,7 @@ def _sided(rows: DataFrame, side: str, *columns: str) -> DataFrame:
 
 
 def _together(rows: DataFrame) -> DataFrame:
-    """Evidence of all pairs of images in one entry of ``rows(key, node, x, y, scale, turn)``."""
+    """Evidence of all pairs of images in one entry of ``rows(key, node, sight)``."""
     return _sided(rows, "a", "key").join(_sided(rows, "b", "key"), "key").where("a < b").select("a", "b", "fa", "fb")
 
 
@@ -436,21 +572,14 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _agreeing(evidence: DataFrame) -> DataFrame:
-    """Pairs (a, b) of which two pieces of evidence agree on one turn, scale and shift."""
-    turn = F.pmod(F.col("fb.turn") - F.col("fa.turn"), F.lit(2 * np.pi))
-    grow = F.col("fa.scale") / F.col("fb.scale")
-    # most pairs have one piece of evidence and go first
-    e = evidence.groupBy("a", "b").agg(F.collect_set(F.struct("fa", "fb")).alias("e")).where(F.size("e") > 1)
-    e = e.select("a", "b", F.explode_outer("e").alias("e")).select("a", "b", "e.fa", "e.fb").select("a", "b", turn.alias("turn"), grow.alias("grow"), "fa", "fb")
-    sx = F.col("fb.x") - F.col("grow") * (F.col("fa.x") * F.cos("turn") - F.col("fa.y") * F.sin("turn"))
-    sy = F.col("fb.y") - F.col("grow") * (F.col("fa.x") * F.sin("turn") + F.col("fa.y") * F.cos("turn"))
-    at = F.struct(F.round("fa.x", 1).alias("x"), F.round("fa.y", 1).alias("y"))
-    # bins of every quantity twice, half a bin apart
-    halves = F.array(*[F.struct(*[F.lit(0.5 * (g >> k & 1)).alias(n) for k, n in enumerate("tgxy")]) for g in range(16)])
-    e = e.select("a", "b", "turn", "grow", sx.alias("sx"), sy.alias("sy"), at.alias("at"), F.explode(halves).alias("h"))
-    bins = [F.pmod(F.floor(F.col("turn") / (np.pi / 6) + F.col("h.t")), F.lit(12)), F.floor(F.ln("grow") / (2 * np.log(STEP)) + F.col("h.g")), F.floor(F.col("sx") / 20 + F.col("h.x")), F.floor(F.col("sy") / 20 + F.col("h.y"))]
-    met = e.groupBy("a", "b", "h", *[b.alias(f"b{k}") for k, b in enumerate(bins)]).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    return met.where("lo != hi").select("a", "b").distinct()
+    """Pairs (a, b) of which a piece of evidence agrees in bits, and on one turn, scale and shift."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), SIGHT) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(alike(p, q)))
+
+    return evidence.select("a", "b", F.col("fa.sight").alias("p"), F.col("fb.sight").alias("q")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, made: DataFrame, votes: int) -> DataFrame:
@@ -484,9 +613,10 @@ def _all_pairs_up_to(sizes: DataFrame, rows: int) -> int:
 def image_links(spark: SparkSession, made: DataFrame, scratch: Scratch, votes: int = VOTES) -> DataFrame:
     """Pairs ``(a, b, votes)`` of nodes whose corners agree on one turn, scale and shift: all of them between different components
     that are candidates; within a component of images that share a very large entry, those that were met."""
-    shared = _entries(made).groupBy("v32").agg(F.count("*").alias("n")).where("n > 1").select("v32")
+    bucket_bits = _buckets(made.count())
+    shared = scratch.write(_shared_keys(made, bucket_bits), "shared")
     # entries that only the filter lets through have one image, and no partner in the join
-    entries = scratch.write(_entries(made, _filter_of(shared)), "entries")
+    entries = scratch.write(_entries(made, _filter_of(shared), bucket_bits), "entries")
     sizes = scratch.write(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS), "sizes")
     large = sizes.where(F.col("n") > _all_pairs_up_to(sizes, entries.count())).select("key")
     few = _together(entries.join(_small(large), "key", "left_anti"))
@@ -506,10 +636,8 @@ def image_links(spark: SparkSession, made: DataFrame, scratch: Scratch, votes: i
             return links
         if left > before / 2:
             break
-    # whatever is left: all pairs of different components in an entry, with the evidence that they have in other entries
-    met = scratch.write(_across(rows, BLOCK), "across")
-    evidence = met.unionByName(few.join(met.select("a", "b").distinct(), ["a", "b"], "left_semi"))
-    asked = scratch.write(_agreeing(evidence).join(tried, ["a", "b"], "left_anti"), "candidates")
+    # whatever is left: all pairs of different components in an entry
+    asked = scratch.write(_agreeing(_across(rows, BLOCK)).join(tried, ["a", "b"], "left_anti"), "candidates")
     return _linked(spark, asked, links, rest, made, scratch, votes)[0]
 
 
@@ -533,22 +661,18 @@ def image_copies(media: DataFrame, id_col: str, media_col: str, *, keypoints: in
     group of copies not all pairs are compared), status whether the media was decoded."""
     spark = media.sparkSession
     scratch = Scratch(spark, "media")
-    rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    digest = F.when(F.coalesce(F.length("media"), F.lit(0)) > 0, F.unhex(F.sha2("media", 256))).otherwise(F.encode(F.concat(F.lit("none "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8"))
-    keyed = rows.withColumn("digest", digest)
-    ids = scratch.write(keyed.select("id", "digest"), "ids")
+    # the pictures themselves are never shuffled: all are described, and the corners of one of each are kept
+    described = scratch.write(pictures(media.select(F.col(id_col).alias("node"), F.col(media_col).alias("media"))), "described")
+    digest = F.coalesce("digest", F.encode(F.concat(F.lit("none "), F.coalesce(F.col("node").cast("string"), F.lit(""))), "UTF-8"))
+    ids = described.select(F.col("node").alias("id"), digest.alias("digest"))
     nodes = scratch.write(ids.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     named = ids.join(nodes, "digest")
-    # the pictures themselves are never shuffled: all are described, and the corners of one of each are kept
-    copies = named.where("id != node").select(F.col("id").alias("node")).distinct()
-    copies = scratch.write(copies, "copies")
-    described = scratch.write(pictures(rows.withColumnRenamed("id", "node")), "described")
-    state = scratch.write(described.groupBy("node").agg(F.min("status").alias("status")), "status")
+    copies = scratch.write(named.where("id != node").select(F.col("id").alias("node")).distinct(), "copies")
+    state = described.groupBy("node").agg(F.min("status").alias("status"))
     held = described.where("node is not null and corners is not null").join(_small(copies), "node", "left_anti")
-    if not ids.groupBy("id").count().where("count > 1").isEmpty():
-        held = held.groupBy("node").agg(F.min("corners").alias("corners"))  # rows that repeat an id
-    made = scratch.write(held.select("node", "corners"), "pictures")
-    scratch.drop(described)
+    made = held.select("node", "corners")
+    if not ids.groupBy("id").count().where("count > 1").isEmpty():  # rows that repeat an id
+        made = scratch.write(held.groupBy("node").agg(F.min("corners").alias("corners")), "pictures")
     links = image_links(spark, made, scratch, votes)
     parts = connected_components(spark, links.select("a", "b"), scratch)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
