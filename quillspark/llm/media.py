@@ -3,7 +3,7 @@
 Plan: one pass takes the digest of every image, decodes it and describes the corners of
 a pyramid (steps of 1.2, down to the smallest level that holds a patch; small images are enlarged
 first) by 256 binary intensity tests in a patch turned to its own orientation; equal byte strings collapse. A Hamming table
-finds candidates: a key is 13 sampled test bits of a corner and of two of its six nearest, and coarsely how
+finds candidates: a key is 11 sampled test bits of a corner and of two of its six nearest, and coarsely how
 the two lie; images are candidates if three corners of one key also agree in further bits, and on one turn, scale and shift.
 A candidate pair is decided on all its corners: matches within the Hamming bound vote for a turn,
 scale and shift, the best vote is fitted by least squares, and the pair is linked if enough
@@ -44,10 +44,10 @@ MAX_BITS, VOTES, FIT = 40, 7, 3.0
 #: Corners of one spot lie in one square of so many pixels.
 SPOT = 6.0
 #: Neighbours of which every two make a key with their corner, and sampled bits of each of the three in it.
-NEIGHBOURS, KEY_BITS = 6, 13
+NEIGHBOURS, KEY_BITS = 6, 11
 #: Of the three corners of a key: words of tests that are compared, bits of them all that may differ, and by how many pixels
 #: of the level they may be off their best fit, by what angle their turns, by what factor (its logarithm) its scale.
-WORDS, NEAR_BITS, NEAR_FIT, NEAR_TURN, NEAR_SCALE = 2, 44, 3.0, 0.5, 0.3
+WORDS, NEAR_BITS, NEAR_FIT, NEAR_TURN, NEAR_SCALE = 2, 34, 2.0, 0.4, 0.25
 #: Tests that key bits are sampled from.
 TELLING = 64
 #: Rows of a table entry up to which all pairs of it are candidates; larger entries too, while they together make up to so many pairs a row of the table.
